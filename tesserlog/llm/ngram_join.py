@@ -294,7 +294,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.when(F.col("b") == F.col("o"), 1).otherwise(0).alias("same"),
         )
     )
-    sets = texts.join(dealt, "id").select("node", "comp", "task", "side", "same", "text").mapInArrow(
+    # merged at every size, so that its cost grows evenly
+    sets = texts.join(dealt.hint("merge"), "id").select("node", "comp", "task", "side", "same", "text").mapInArrow(
         _sets(size), "node long, comp long, task long, side int, same int, grams binary"
     )
     links = written(sets.groupBy("task").applyInPandas(_product(percent), "u long, v long"), "ngram-links")
@@ -304,7 +305,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = of.join(classes, "node").groupBy("comp").agg(F.min("rep").alias("component"))
     of = of.join(least, "comp").select("node", "component")
     by_class = classes.join(of, "node", "left").select(F.col("node").alias("digest"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(by_class, "digest", "left").select(
+    # a written table, so that a digest with many rows can be split over tasks
+    out = rows.join(written(by_class, "ngram-classes"), "digest", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
