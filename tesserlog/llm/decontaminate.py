@@ -122,20 +122,46 @@ class Shard:
             out_s.append(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
         return np.concatenate(out_t), np.concatenate(out_s)
 
-    def longest(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix the longest verbatim match in the shard, and the array entry that has it (-1: none)."""
+    def longest(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each test suffix the longest verbatim match in the shard, and the array entry that has it (-1: none).
+
+        Of equally long ones the text of least id (``ids``, by text), then its first place.
+        """
         t = self.tests
         best, where = np.zeros(len(t.keys), np.int64), np.full(len(t.keys), -1)
-        if len(self.at):
-            mid = np.searchsorted(self.keys, t.keys)
-            for j in (mid - 1, mid):
-                for i in np.flatnonzero((j >= 0) & (j < len(self.at))):
-                    a, b = self.ids[self.at[j[i]] :][: min(self.left[j[i]], t.left[i])], t.ids[i:][: min(self.left[j[i]], t.left[i])]
-                    same = int(np.argmin(a == b)) if not (a == b).all() else len(a)
-                    if same > best[i]:
-                        best[i], where[i] = same, j[i]
+        if not len(self.at):
+            return best, where
+
+        def common(i: int, j: int) -> int:
+            n = min(self.left[j], t.left[i])
+            apart = np.flatnonzero(self.ids[self.at[j] : self.at[j] + n] != t.ids[i : i + n])
+            return int(apart[0]) if len(apart) else int(n)
+
+        mid = np.searchsorted(self.keys, t.keys)
+        for j in (mid - 1, mid):
+            for i in np.flatnonzero((j >= 0) & (j < len(self.at))).tolist():
+                best[i] = max(best[i], common(i, int(j[i])))
+        # more words than the keys hold may stand anywhere among equal keys
+        rank = np.lexsort((self.at, ids[self.doc]))
+        order = np.empty(len(rank), np.int64)
+        order[rank] = np.arange(len(rank))
+        for i in np.flatnonzero(best).tolist():
+            lo, hi = self._range(i, min(int(best[i]), KEY_WORDS))
+            some = np.arange(lo, hi)
+            if best[i] >= KEY_WORDS:
+                far = np.array([common(i, j) for j in range(lo, hi)])
+                best[i], some = far.max(), some[far == far.max()]
+            where[i] = some[np.argmin(order[some])]
         return best, where
 
+    def _range(self, i: int, words: int) -> tuple[int, int]:
+        """Array entries that begin with the first words of test suffix i."""
+        low = self.tests.keys[i : i + 1].view(np.uint8).reshape(1, -1).copy()
+        high = low.copy()
+        low[:, 4 * words :], high[:, 4 * words :] = 0, 255
+        kind = self.keys.dtype
+        return int(np.searchsorted(self.keys, low.view(kind).ravel())[0]), int(np.searchsorted(self.keys, high.view(kind).ravel(), "right")[0])
+
 
 def _merge(begin: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
     """Disjoint sorted intervals that cover the given ones."""
@@ -236,9 +262,9 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
             for batch in batches:
                 words, counts = hash_words(*text_buffers(batch.column(1)), ALNUM)
                 shard = Shard(words, counts, tests)
-                best, where = shard.longest()
-                i = np.flatnonzero(where >= 0)
                 ids = batch.column(0).to_pylist()
+                best, where = shard.longest(np.array([np.iinfo(np.int64).max if x is None else x for x in ids], np.int64))
+                i = np.flatnonzero(where >= 0)
                 doc = shard.doc[where[i]]
                 yield pa.RecordBatch.from_pydict({"item_id": [tests.items[k] for k in tests.owner[i]], "suffix": tests.place[i], "words": best[i], "doc_id": pa.array([ids[d] for d in doc], pa.int64()), "doc_word": shard.at[where[i]] - (np.cumsum(counts) - counts)[doc]})
 
