@@ -174,7 +174,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     is_query: a condition on column ``id``. All rows but the query's own are candidates.
     """
     rows = usable(vectors, id_col, vec_col)
-    x = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+    # a share of the hash range that holds the sample with rows to spare, so that tasks do not each send a whole sample
+    share = min(1.0, 2.0 * sample / max(1, rows.count()))
+    near = rows.where(F.xxhash64("id") < int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else rows
+    x = near.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(x):
         return empty
