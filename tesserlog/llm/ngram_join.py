@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserlog.llm.shared import connected_components, written
-from tesserlog.llm.textops import BLANK_SPLIT, hash_words, mix, text_buffers
+from tesserlog.llm.textops import BLANK_SPLIT, hash_words, mix, slices, text_buffers
 
 ROWS_PER_BLOCK, CELLS_PER_BLOCK = 2000, 1_000_000
 FLUSH = 2_000_000
@@ -138,7 +138,7 @@ def _facts(size: int, percent: int):
                 yield from many(2, pairs[0], pairs[1])
 
         cells = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             data, off = text_buffers(batch.column(1))
             words, counts = hash_words(data, off, BLANK_SPLIT)
             digests, sizes = [], []
@@ -248,7 +248,7 @@ def _product(percent: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("text"))):
             words, counts = hash_words(*text_buffers(batch.column("text")), BLANK_SPLIT)
             grams, keep = [], []
             for i, (g, d) in enumerate(zip(shingle_sets(words, counts, size), batch.column("node").to_pylist())):

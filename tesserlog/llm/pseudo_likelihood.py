@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserlog.llm.shared import written
-from tesserlog.llm.textops import ALNUM, hash_words, text_buffers
+from tesserlog.llm.textops import ALNUM, hash_words, slices, text_buffers
 
 NAMED, HASHED, CLASS, SIDE, UNITS = 448, 64, 16, 2, 16
 SIZE = NAMED + HASHED
@@ -44,7 +44,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             return words, np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
 
         size = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             words, _ = hash_words(*text_buffers(batch.column(0)), ALNUM)
             held.append(np.unique(words, return_counts=True))
             size += len(held[-1][0])
@@ -208,7 +208,7 @@ def learn_network(texts: DataFrame, vocabulary: Vocabulary) -> Window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = Window(vocabulary.start), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             words, counts = hash_words(*text_buffers(batch.column(0)), ALNUM)
             ids = vocabulary.ids(words)
             around = surroundings(ids, counts)
@@ -237,7 +237,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             words, counts = hash_words(*text_buffers(batch.column(at)), ALNUM)
             ids = vocabulary.ids(words)
             around = surroundings(ids, counts)

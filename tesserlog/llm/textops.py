@@ -107,7 +107,16 @@ def hash_words(data: np.ndarray, off: np.ndarray, word: np.ndarray, spans: bool
     return out
 
 
-def hash_of(word_text: str, word: np.ndarray) -> np.ndarray:
-    """Hashes of the words of one Python string."""
-    raw = word_text.encode()
-    return hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), word)[0]
+def runs(off: np.ndarray, size: int = 2 * SEGMENT):
+    """(first, last + 1) of consecutive texts of about ``size`` bytes."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+        yield i, min(j, n)
+        i = j
+
+
+def slices(batch: pa.RecordBatch, text_at: int):
+    """Parts of a batch with about two segments of text, so that what is made of them stays small."""
+    for i, j in runs(text_buffers(batch.column(text_at))[1]):
+        yield batch.slice(i, j - i)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserlog.llm.textops import ALNUM, _LOWER, hash_words, mix, text_buffers
+from tesserlog.llm.textops import ALNUM, _LOWER, hash_words, mix, runs, text_buffers
 
 WINDOW, STRIDE, STATES = 32, 24, 8
 MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES = 800, 1600, 24_000_000
@@ -58,17 +58,25 @@ def _slot(h: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Log-odds tables of words and character n-grams, from document frequencies."""
 
-    def __init__(self, texts: list["Words"], labels: np.ndarray):
+    def __init__(self):
         n = 1 << _SLOTS_BITS
-        seen = {k: [np.zeros(n, np.float32), np.zeros(n, np.float32)] for k in ("word", "gram")}
-        for t, y in zip(texts, labels):
-            seen["word"][y][np.unique(_slot(t.distinct))] += 1
-            seen["gram"][y][np.unique(_slot(t.grams))] += 1
-        total = [max(1, int((labels == y).sum())) for y in (0, 1)]
+        self.seen = {k: [np.zeros(n, np.float32), np.zeros(n, np.float32)] for k in ("word", "gram")}
+        self.total = [0, 0]
+
+    def add(self, t: "Words", y: int) -> None:
+        self.seen["word"][y][np.unique(_slot(t.distinct))] += 1
+        self.seen["gram"][y][np.unique(_slot(t.grams))] += 1
+        self.total[y] += 1
+
+    def done(self) -> "Lexicon":
+        """Turn the counts into log-odds; what was seen fewer than three times counts less."""
+        total = [max(1, n) for n in self.total]
         self.word, self.gram = (
             (np.log((p + 0.5) / (total[1] + 1)) - np.log((q + 0.5) / (total[0] + 1))) * np.minimum(1, (p + q) / 3)
-            for q, p in (seen["word"], seen["gram"])
+            for q, p in (self.seen["word"], self.seen["gram"])
         )
+        del self.seen
+        return self
 
     def inputs(self, t: "Words") -> np.ndarray:
         """(distinct words, inputs)."""
@@ -242,35 +250,36 @@ class Scorer:
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The largest window probability of each text."""
         out = np.zeros(len(off) - 1)
-        for i, j in _runs(off):
+        for i, j in runs(off):
             words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
             _, _, text, logit = self.logits(words)
             np.maximum.at(out, text + i, _sigmoid(logit.astype(np.float64)))
         return out
 
 
-def _runs(off: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Consecutive texts of about ``size`` bytes."""
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
-        yield i, min(j, n)
-        i = j
-
-
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: tuple[int, ...] = (240, 80)) -> Scorer:
     """Fit on texts and 0/1 labels, with so many steps before and after the windows are chosen anew. Lexicon inputs used in training come from the half that a text is not in."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    words = [Words(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw]
+    def words_of(text: str) -> Words:
+        raw = text.encode("utf-8", "surrogatepass")
+        return Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+
     labels, half = np.asarray(labels, np.int64), np.arange(len(texts)) % 2
-    network = Network(seed)
-    scorer = Scorer(Lexicon(words, labels), network)
+    network, every, across = Network(seed), Lexicon(), [Lexicon(), Lexicon()]
+    for t, y, h in zip(texts, labels.tolist(), half.tolist()):
+        w = words_of(t)
+        every.add(w, y)
+        across[1 - h].add(w, y)
+    scorer = Scorer(every.done(), network)
     if not len(texts) or labels.min() == labels.max():
         network.p["o"][:] = 0
         network.p["z"][0] = 4.0 if len(texts) and labels.min() else -4.0
         return scorer
-    across = [Lexicon([w for w, h in zip(words, half) if h != k], labels[half != k]) for k in (0, 1)]
-    inputs = [across[h].inputs(w) for w, h in zip(words, half)]
+    words, inputs = [], []
+    for t, h in zip(texts, half.tolist()):
+        w = words_of(t)
+        inputs.append((across[h] if hasattr(across[h], "word") else across[h].done()).inputs(w))
+        w.grams = w.gram_of = None  # the large part; training needs places and inputs
+        words.append(w)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     rng, step = np.random.default_rng(seed), 0
     for turn, steps in enumerate(rounds):
