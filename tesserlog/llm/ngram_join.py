@@ -7,9 +7,10 @@ The incidence matrix A (documents x hashed word n-grams) is cut twice.
    size can have. By the pigeonhole principle a linked pair has at least one column
    block in which its two rows are equal and not empty; all other pairs lie below the
    size-derived bound and are never formed. Each (row, block) is one 64-bit
-   fingerprint; rows that share one are connected, by a star and not by pairs, and the
-   connected groups are the diagonal blocks outside which the product is zero or
-   below the bound.
+   fingerprint. Agreements of two rows are counted over fingerprints that at most
+   ``COMMON`` rows have, pairs below the bound are dropped, and rows with as many
+   common fingerprints as a linked pair must share are joined by a star. The connected
+   groups are the diagonal blocks outside which the product is below the bound.
 2. *Their product.* Each diagonal block is multiplied, A A', over slices of its
    columns. Overlap counts accumulate slice by slice; a pair whose count plus the
    columns still to come cannot reach its bound is dropped, and the product ends
@@ -38,6 +39,8 @@ from tesserlog.llm.textops import BLANK_SPLIT, hash_words, mix, slices, text_buf
 
 ROWS_PER_BLOCK, CELLS_PER_BLOCK = 2000, 1_000_000
 FLUSH = 2_000_000
+#: Blocks in which linked rows of more than a few n-grams agree at least, and the rows of a fingerprint from which it is common.
+SPARE, COMMON = 4, 8
 _FACTS = "kind int, id long, digest long, n long, keys array<long>, nodes array<long>"
 
 
@@ -86,7 +89,7 @@ class Bands:
             self.of(self.lows[-1])
         most = self.lows[band + 1] - 1
         apart = 2 * most * (100 - self.percent) // (100 + self.percent)
-        spare = 4 if apart > 3 else 1
+        spare = SPARE + apart // 5 if apart > 3 else 1
         return apart + spare, spare
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
@@ -102,23 +105,12 @@ class Bands:
             cuts = np.concatenate([[0], np.searchsorted(grams, edges), [size]])
             key = mix(total[cuts[1:]] - total[cuts[:-1]]) + mix(np.arange(m, dtype=np.uint64) + np.uint64(b << 40))
             full = cuts[1:] > cuts[:-1]
-            out.append(mix(key[full] if (~full).sum() < spare else key))
+            # blocks that are empty in both rows agree too; rows with few of them still share SPARE others
+            key = mix(key[full] if (~full).sum() <= max(0, spare - SPARE) else key)
+            out.append(key & ~np.uint64(1) | np.uint64(spare > 1))  # the last bit: several blocks agree
         return np.concatenate(out)
 
 
-def _star(keys: np.ndarray, nodes: np.ndarray, carry=None):
-    """Sorted runs of equal keys: the first node of each run, and (node, first node) of the others."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    if carry is not None:
-        keys, nodes = np.append(carry[0], keys), np.append(carry[1], nodes)
-    new = np.append(True, keys[1:] != keys[:-1])
-    first = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-    apart = nodes != first
-    pairs = np.unique(np.stack([nodes[apart], first[apart]]), axis=1)
-    return keys[new], nodes[new], pairs
-
-
 def _facts(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, held = Bands(percent), set(), []
@@ -130,12 +122,9 @@ def _facts(size: int, percent: int):
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([keys[part].view(np.int64)], pa.list_(pa.int64())), pa.array([nodes[part]], pa.list_(pa.int64()))], schema=schema)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            """Rows of this task that share a fingerprint are joined here; one of them goes on."""
             if held:
-                keys, nodes, pairs = _star(np.concatenate([k for k, _ in held]), np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held]))
+                yield from many(1, np.concatenate([k for k, _ in held]), np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held]))
                 held.clear()
-                yield from many(1, keys, nodes)
-                yield from many(2, pairs[0], pairs[1])
 
         cells = 0
         for batch in (part for whole in batches for part in slices(whole, 1)):
@@ -158,15 +147,66 @@ def _facts(size: int, percent: int):
     return run
 
 
-def _star_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: a run of equal keys may span batches, of which only the first node is held."""
-    carry = None
+def _pair_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key and node. Distinct rows of a run of up to ``COMMON`` equal keys give their pairs, a longer run gives its rows.
+
+    kind 0: a pair of which several blocks must agree; 1: a row of a long run; 2: a pair of which one block is enough.
+    A run may span batches: at most ``COMMON`` rows of it are held.
+    """
+    keys, nodes, common = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+    def out(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v)], names=["kind", "u", "v"])
+
+    def settled(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(keys):
+            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            length = np.diff(np.append(begin, len(keys)))
+            many = np.repeat((length > COMMON) | (keys[begin] == common if common is not None else False), length)
+            yield out(1, keys[many], nodes[many])
+            for d in range(1, min(COMMON, len(keys))):
+                at = np.flatnonzero((keys[d:] == keys[:-d]) & ~many[d:])
+                if not len(at):
+                    break
+                several = keys[at] & 1 == 1
+                yield out(0, nodes[at + d][several], nodes[at][several])
+                yield out(2, nodes[at + d][~several], nodes[at][~several])
+
     for batch in batches:
         if batch.num_rows:
-            keys, nodes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            firsts, heads, pairs = _star(keys, nodes, carry)
-            carry = (firsts[-1], heads[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            keys = np.append(keys, batch.column(0).to_numpy(zero_copy_only=False))
+            nodes = np.append(nodes, batch.column(1).to_numpy(zero_copy_only=False))
+            new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
+            keys, nodes = keys[new], nodes[new]
+            last = int(np.searchsorted(keys, keys[-1]))
+            wait = last if len(keys) - last <= COMMON and keys[-1] != common else len(keys)
+            yield from settled(keys[:wait], nodes[:wait])
+            if wait == len(keys):
+                common = keys[-1]
+            keys, nodes = keys[wait:], nodes[wait:]
+    yield from settled(keys, nodes)
+
+
+def _candidates(keys: DataFrame) -> DataFrame:
+    """Edges between rows that may link, from (keys, nodes).
+
+    A linked pair agrees in ``SPARE`` blocks or more. Agreements in fingerprints that
+    few rows have are counted by pair; those in common fingerprints are at most as many
+    as either row has of them. A pair below the bound by this count goes. Rows with
+    ``SPARE`` or more common fingerprints may link by these alone and are joined to one
+    of their holders. Fingerprints without the last bit set join always.
+    """
+    met = written(keys.repartition("keys").sortWithinPartitions("keys", "nodes").mapInArrow(_pair_stream, "kind int, u long, v long"), "ngram-met", "kind")
+    rows = met.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("node"))
+    several = F.col("key").bitwiseAND(F.lit(1)) == 1
+    able = rows.groupBy("node").agg(F.count(F.when(several, 1)).alias("n"))
+    common = rows.join(able, "node").where(~several | (F.col("n") >= SPARE)).select("key", "node")
+    star = common.join(common.groupBy("key").agg(F.min("node").alias("v")), "key").select(F.col("node").alias("u"), "v").where("u <> v")
+    pairs = met.where("kind = 0").groupBy("u", "v").agg(F.count("*").alias("agree"))
+    more = lambda c: able.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    most = F.col("agree") + F.least(F.coalesce("n_u", F.lit(0)), F.coalesce("n_v", F.lit(0)))
+    near = pairs.join(more("u"), "u", "left").join(more("v"), "v", "left").where(most >= SPARE).select("u", "v")
+    return near.union(star).union(met.where("kind = 2").select("u", "v"))
 
 
 def overlaps_reach(rows: list[np.ndarray], split: int, percent: int, slice_columns: int = 2048) -> np.ndarray:
@@ -271,9 +311,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     facts = written(texts.mapInArrow(_facts(size, percent), _FACTS), "ngram-facts", "kind")
     rows = facts.where("kind = 0").select("id", "digest", "n")
     keys = facts.where("kind = 1").select(F.explode(F.arrays_zip("keys", "nodes")).alias("k")).select("k.keys", "k.nodes")
-    local = facts.where("kind = 2").select(F.explode(F.arrays_zip("keys", "nodes")).alias("k")).select(F.col("k.keys").alias("u"), F.col("k.nodes").alias("v"))
-    met = keys.repartition("keys").sortWithinPartitions("keys", "nodes").mapInArrow(_star_stream, "u long, v long")
-    near = connected_components(met.union(local), "ngram-near")
+    near = connected_components(_candidates(keys), "ngram-near")
 
     classes = rows.where("digest is not null and id is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     members = near.union(near.select(F.col("comp").alias("node"), "comp").distinct()).join(classes, "node")
