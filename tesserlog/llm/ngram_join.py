@@ -196,7 +196,7 @@ def _candidates(keys: DataFrame) -> DataFrame:
     ``SPARE`` or more common fingerprints may link by these alone and are joined to one
     of their holders. Fingerprints without the last bit set join always.
     """
-    met = written(keys.repartition("keys").sortWithinPartitions("keys", "nodes").mapInArrow(_pair_stream, "kind int, u long, v long"), "ngram-met", "kind")
+    met = written(keys.repartition("keys").sortWithinPartitions("keys", "nodes").mapInArrow(_pair_stream, "kind int, u long, v long"), "ngram-met")
     rows = met.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("node"))
     several = F.col("key").bitwiseAND(F.lit(1)) == 1
     able = rows.groupBy("node").agg(F.count(F.when(several, 1)).alias("n"))
@@ -308,7 +308,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two rows link when 100 * |intersection| >= percent * |union| of their distinct word n-grams.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    facts = written(texts.mapInArrow(_facts(size, percent), _FACTS), "ngram-facts", "kind")
+    facts = written(texts.mapInArrow(_facts(size, percent), _FACTS), "ngram-facts")
     rows = facts.where("kind = 0").select("id", "digest", "n")
     keys = facts.where("kind = 1").select(F.explode(F.arrays_zip("keys", "nodes")).alias("k")).select("k.keys", "k.nodes")
     near = connected_components(_candidates(keys), "ngram-near")
