@@ -311,19 +311,26 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: tuple[int,
     return scorer
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_bytes: int = MAX_BYTES) -> Scorer:
-    """Fit on the bounded sample named above. Rows without text or without a 0/1 label do not count."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("text is not null and y in (0, 1)")
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_bytes: int = MAX_BYTES, texts_of: DataFrame | None = None) -> Scorer:
+    """Fit on the bounded sample named above. Rows without text or without a 0/1 label do not count.
+
+    Where ``texts_of`` has the texts by id, ``labelled`` needs ``size`` (bytes of text) in
+    their place, so that it can come from a join that moves no text.
+    """
+    size = F.octet_length(text_col) if texts_of is None else F.col("size")
+    rows = labelled.select(F.col(id_col).alias("id"), size.alias("size"), F.col(label_col).cast("int").alias("y")).where("size is not null and y in (0, 1)")
     texts, labels = [], []
     for y, most in ((1, max_positive), (0, max_negative)):
-        ids = rows.where(F.col("y") == y).select("id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").limit(most).collect()
+        ids = rows.where(F.col("y") == y).select("id", "size").orderBy(F.xxhash64("id"), "id").limit(most).collect()
         held, chosen = 0, []
         for r in ids:
             held += r["size"]
             if held > max_bytes // 2 and chosen:
                 break
             chosen.append(r["id"])
-        found = {r["id"]: r["text"] for r in rows.where((F.col("y") == y) & F.col("id").isin(chosen)).select("id", "text").collect()} if chosen else {}
+        source = labelled.where(F.col(label_col).cast("int") == y) if texts_of is None else texts_of
+        some = source.where(F.col(id_col).isin(chosen) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        found = {r["id"]: r["text"] for r in some.collect()} if chosen else {}
         texts += [found[i] for i in dict.fromkeys(chosen)]
         labels += [y] * len(dict.fromkeys(chosen))
     return fit(texts, np.array(labels, np.int64))
