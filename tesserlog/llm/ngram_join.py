@@ -41,7 +41,8 @@ ROWS_PER_BLOCK, CELLS_PER_BLOCK = 2000, 1_000_000
 FLUSH = 2_000_000
 #: Blocks in which linked rows of more than a few n-grams agree at least, and the rows of a fingerprint from which it is common.
 SPARE, COMMON = 4, 8
-_FACTS = "kind int, id long, digest long, n long, keys array<long>, nodes array<long>"
+#: kind 0: id, digest and size of a row; kind 1: a fingerprint and the digest that has it. Flat, so that a reader holds few rows at a time.
+_FACTS = "kind int, a long, b long, n long"
 
 
 def shingle_sets(words: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -114,16 +115,19 @@ class Bands:
 def _facts(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, held = Bands(percent), set(), []
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("digest", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
+        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
-        def many(kind: int, keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def facts(kind: int, *columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], schema=schema)
+
+        def many(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(keys), 32768):
                 part = slice(i, i + 32768)
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([keys[part].view(np.int64)], pa.list_(pa.int64())), pa.array([nodes[part]], pa.list_(pa.int64()))], schema=schema)
+                yield facts(1, pa.array(keys[part].view(np.int64)), pa.array(nodes[part]), pa.nulls(len(keys[part]), pa.int64()))
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                yield from many(1, np.concatenate([k for k, _ in held]), np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held]))
+                yield from many(np.concatenate([k for k, _ in held]), np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held]))
                 held.clear()
 
         cells = 0
@@ -138,7 +142,7 @@ def _facts(size: int, percent: int):
                     seen.add(digests[-1])
                     held.append((bands.keys(grams), digests[-1]))
                     cells += len(held[-1][0])
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), batch.column(0).cast(pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(sizes), pa.list_(pa.int64())), pa.nulls(len(sizes), pa.list_(pa.int64()))], schema=schema)
+            yield facts(0, batch.column(0).cast(pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()))
             if cells > FLUSH:
                 yield from flush()
                 cells = 0
@@ -309,8 +313,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     facts = written(texts.mapInArrow(_facts(size, percent), _FACTS), "ngram-facts")
-    rows = facts.where("kind = 0").select("id", "digest", "n")
-    keys = facts.where("kind = 1").select(F.explode(F.arrays_zip("keys", "nodes")).alias("k")).select("k.keys", "k.nodes")
+    rows = facts.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("digest"), "n")
+    keys = facts.where("kind = 1").select(F.col("a").alias("keys"), F.col("b").alias("nodes"))
     near = connected_components(_candidates(keys), "ngram-near")
 
     classes = rows.where("digest is not null and id is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("rep"), F.max("n").alias("n"))
