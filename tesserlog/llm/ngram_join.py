@@ -38,7 +38,7 @@ from tesserlog.llm.shared import connected_components, written
 from tesserlog.llm.textops import BLANK_SPLIT, hash_words, mix, slices, text_buffers
 
 ROWS_PER_BLOCK, CELLS_PER_BLOCK = 2000, 1_000_000
-FLUSH = 2_000_000
+FLUSH, STRIP = 2_000_000, 256
 #: Blocks in which linked rows of more than a few n-grams agree at least, and the rows of a fingerprint from which it is common.
 SPARE, COMMON = 4, 8
 #: kind 0: id, digest and size of a row; kind 1: a fingerprint and the digest that has it. Flat, so that a reader holds few rows at a time.
@@ -217,7 +217,7 @@ def overlaps_reach(rows: list[np.ndarray], split: int, percent: int, slice_colum
     """Which pairs (row below ``split``, row from ``split``; all with all where split is 0) link: A A' by column slices."""
     n = len(rows)
     sizes = np.array([len(r) for r in rows], np.int64)
-    top, low = (np.arange(n), np.arange(n)) if not split else (np.arange(split), np.arange(split, n))
+    top, low = (slice(0, n), slice(0, n)) if not split else (slice(0, split), slice(split, n))
     columns, column = np.unique(np.concatenate(rows), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
     spread = np.bincount(column, minlength=len(columns))
@@ -231,21 +231,35 @@ def overlaps_reach(rows: list[np.ndarray], split: int, percent: int, slice_colum
     used = dense[used]
     by_slice = np.argsort(used // slice_columns, kind="stable")
     used, owner = used[by_slice], owner[order][by_slice]
-    bound = -(-percent * (sizes[top][:, None] + sizes[low][None, :]) // (100 + percent))
-    count = np.zeros(bound.shape, np.float32)
+    of_slice = used // slice_columns
+    count = np.zeros((len(sizes[top]), len(sizes[low])), np.float32)
     left = np.bincount(owner, minlength=n)
+
+    def strips() -> Iterator[tuple[slice, np.ndarray]]:
+        """Some upper rows at a time, and the sums of their sizes with the lower rows' sizes: what is made of them stays small."""
+        for i in range(0, len(count), STRIP):
+            yield slice(i, i + STRIP), sizes[top][i : i + STRIP, None] + sizes[low]
+
+    def may_reach(rows: slice, both: np.ndarray) -> bool:
+        open_ = count[rows] + np.minimum(left[top][rows, None], left[low]) >= -(-percent * both // (100 + percent))
+        if split == 0:
+            open_[np.arange(len(open_)), np.arange(rows.start, rows.start + len(open_))] = False
+        return bool(open_.any())
+
     for s in range(0, len(begin), slice_columns):
-        a, b = np.searchsorted(used // slice_columns, [s // slice_columns, s // slice_columns + 1])
+        a, b = np.searchsorted(of_slice, [s // slice_columns, s // slice_columns + 1])
         part = np.zeros((n, min(slice_columns, len(begin) - s)), np.float32)
         part[owner[a:b], used[a:b] - s] = 1
-        count += part[top] @ part[low].T
+        for rows, _ in strips():
+            count[rows] += part[top][rows] @ part[low].T
         left = left - np.bincount(owner[a:b], minlength=n)
-        open_ = count + np.minimum(left[top][:, None], left[low][None, :]) >= bound
-        if split == 0:
-            np.fill_diagonal(open_, False)
-        if not open_.any():
+        if not any(may_reach(rows, both) for rows, both in strips()):
             break
-    return (count >= bound) & (100 * count >= percent * (sizes[top][:, None] + sizes[low][None, :] - count))
+    links = np.zeros(count.shape, bool)
+    for rows, both in strips():
+        c = count[rows].astype(np.int64)
+        links[rows] = (c >= -(-percent * both // (100 + percent))) & (100 * c >= percent * (both - c))
+    return links
 
 
 def _edges_of(links: np.ndarray, top: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
