@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
+SEGMENT, RUN = 1 << 18, 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -107,7 +107,7 @@ def hash_words(data: np.ndarray, off: np.ndarray, word: np.ndarray, spans: bool
     return out
 
 
-def runs(off: np.ndarray, size: int = 2 * SEGMENT):
+def runs(off: np.ndarray, size: int = RUN):
     """(first, last + 1) of consecutive texts of about ``size`` bytes."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -117,6 +117,6 @@ def runs(off: np.ndarray, size: int = 2 * SEGMENT):
 
 
 def slices(batch: pa.RecordBatch, text_at: int):
-    """Parts of a batch with about two segments of text, so that what is made of them stays small."""
+    """Parts of a batch with about ``RUN`` bytes of text, so that what is made of them stays small."""
     for i, j in runs(text_buffers(batch.column(text_at))[1]):
         yield batch.slice(i, j - i)
