@@ -4,9 +4,13 @@ A window network reads the ``SIDE`` words on both sides of every position, never
 word itself, and predicts it. A document's score is the sum of the conditional
 log-probabilities of all its words.
 
-Vocabulary: the ``NAMED`` most frequent words, counted over all documents, and
-``HASHED`` buckets for the rest; words are runs of letters, digits and non-ASCII
-characters, lower-cased A-Z. The softmax is factored into classes of ``CLASS`` words
+The network's symbols are the ``NAMED`` most frequent words, counted over all
+documents, and ``HASHED`` buckets for the rest; words are runs of letters, digits and
+non-ASCII characters, lower-cased A-Z. A word of a bucket has the probability of the
+bucket times its share of the bucket's tokens, so that every word of the corpus has its
+own: of n tokens and one for unseen words, count / (n + 1), an unseen word as one seen
+once. Tasks hold the shares of up to ``LISTED`` frequent words; those of all others are
+joined from the count table. The softmax is factored into classes of ``CLASS`` words
 of similar frequency. Every task trains the network in numpy, from the same start,
 on all words of its documents; the weights are averaged by words seen (one-shot
 parameter averaging) in a distributed aggregate, so the driver only ever holds one
@@ -29,6 +33,7 @@ from tesserlog.llm.textops import ALNUM, hash_words, slices, text_buffers
 
 NAMED, HASHED, CLASS, SIDE, UNITS = 448, 64, 16, 2, 16
 SIZE = NAMED + HASHED
+LISTED = 65536
 _PAD = SIZE  # stands outside the text
 _BATCH, _RATE = 16384, 0.1
 
@@ -62,13 +67,18 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    def __init__(self, named: list[int], counts: list[int], total: int):
+    """``buckets``: the tokens of each bucket; ``listed``, ``times``: hashes and counts of frequent words of the buckets."""
+
+    def __init__(self, named: list[int], counts: list[int], total: int, buckets: np.ndarray, listed: np.ndarray, times: np.ndarray):
         order = np.argsort(np.array(named, np.int64).view(np.uint64))
         self.words, self.rank = np.array(named, np.int64).view(np.uint64)[order], order
         start = np.full(SIZE, 1.0)
         start[: len(counts)] += counts
         start[NAMED:] += max(0, total - sum(counts)) / HASHED
         self.start = start / start.sum()
+        self.bucket = np.log(buckets + 1.0)
+        order = np.argsort(listed.view(np.uint64))
+        self.listed, self.times = listed.view(np.uint64)[order], np.log(times[order].astype(np.float64))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = NAMED + (hashes % np.uint64(HASHED)).astype(np.int64)
@@ -77,6 +87,18 @@ class Vocabulary:
             out = np.where(self.words[at] == hashes, self.rank[at], out)
         return out.astype(np.int16)  # sixteen bits sort by radix
 
+    def shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of each word's share of its symbol, and where that word's count is still to be joined and stands as 1."""
+        out, far = np.zeros(len(ids)), ids >= NAMED
+        where = np.flatnonzero(far)
+        out[where] = -self.bucket[ids[where] - NAMED]
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, hashes[where]), len(self.listed) - 1)
+            known = self.listed[at] == hashes[where]
+            out[where[known]] += self.times[at[known]]
+            far[where[known]] = False
+        return out, far
+
 
 class Window:
     """The network: one embedding table for each place around the word, a hidden layer, a class and a member softmax."""
@@ -193,11 +215,29 @@ def surroundings(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn_vocabulary(texts: DataFrame) -> Vocabulary:
+def learn_vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The vocabulary, and (h, n) of the words that occur again and are not in it."""
     counts = written(count_words(texts), "lm-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "h").limit(NAMED).collect()
-    return Vocabulary([r["h"] for r in top], [r["n"] for r in top], total)
+    buckets = np.zeros(HASHED, np.int64)
+    for r in counts.groupBy(F.pmod("h", F.lit(HASHED)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        buckets[r["b"]] = r["n"]
+    total = int(buckets.sum())
+    for r in top:
+        buckets[r["h"] % HASHED] -= r["n"]
+    # counts from ``least`` on belong to at most LISTED words besides the named ones
+    step = F.floor(F.log2("n") * 8)
+    least, held = None, 0
+    for r in counts.where("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        held += r["words"]
+        if held > LISTED + len(top):
+            break
+        least = r["n"]
+    often = F.lit(False) if least is None else F.col("n") >= least
+    listed = counts.where(often).toPandas()
+    listed = listed[~listed["h"].isin([r["h"] for r in top])]
+    vocabulary = Vocabulary([r["h"] for r in top], [r["n"] for r in top], total, buckets, listed["h"].to_numpy(np.int64), listed["n"].to_numpy(np.int64))
+    return vocabulary, counts.where(~often & (F.col("n") > 1))
 
 
 _ROW = 4096
@@ -233,7 +273,7 @@ def learn_network(texts: DataFrame, vocabulary: Vocabulary) -> Window:
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str = "text", out: str = "__lm") -> DataFrame:
-    """``docs`` with a last column ``out``: struct of n_tokens and log_prob."""
+    """``docs`` with a last column ``out``: struct of n_tokens, log_prob and the words whose log-count is still to be added."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,20 +282,27 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str =
             ids = vocabulary.ids(words)
             around = surroundings(ids, counts)
             logs = [net.logs(ids[i : i + _BATCH], around[:, i : i + _BATCH]) for i in range(0, len(ids), _BATCH)]
-            total = np.bincount(np.repeat(np.arange(len(counts)), counts), np.concatenate(logs) if logs else None, len(counts))
-            value = pa.StructArray.from_arrays([pa.array(counts), pa.array(total.astype(np.float64))], ["n_tokens", "log_prob"])
+            share, far = vocabulary.shares(words, ids)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            total = np.bincount(doc, np.concatenate(logs) + share if logs else None, len(counts))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[far], minlength=len(counts)))])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[far].view(np.int64)))
+            value = pa.StructArray.from_arrays([pa.array(counts), pa.array(total.astype(np.float64)), rest], ["n_tokens", "log_prob", "rest"])
             yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<n_tokens:bigint,log_prob:double>")).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<n_tokens:bigint,log_prob:double,rest:array<bigint>>")).schema)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from all documents and score them: id, n_tokens, log_prob (sum), mean_log_prob (null without words)."""
     texts = docs.select(F.col(text_col).alias("text"))
-    vocabulary = learn_vocabulary(texts)
+    vocabulary, others = learn_vocabulary(texts)
     net = learn_network(texts, vocabulary)
-    s = F.col("__lm")
-    return score(docs.select(F.col(id_col), F.col(text_col).alias("text")), vocabulary, net).select(
-        id_col, s["n_tokens"].alias("n_tokens"), s["log_prob"].alias("log_prob"),
-        F.when(s["n_tokens"] > 0, s["log_prob"] / s["n_tokens"]).alias("mean_log_prob"),
+    lm = score(docs.select(F.col(id_col), F.col(text_col).alias("text")), vocabulary, net)
+    scored = written(lm.select(id_col, "__lm.*").withColumn("__at", F.monotonically_increasing_id()), "lm-scored")
+    each = scored.select("__at", F.explode("rest").alias("h"))
+    added = each.join(others, "h").groupBy("__at").agg(F.sum(F.log("n")).alias("__added"))
+    log_prob = F.col("log_prob") + F.coalesce("__added", F.lit(0.0))
+    return scored.drop("rest").join(added, "__at", "left").select(
+        id_col, "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob")
     )

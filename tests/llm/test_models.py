@@ -131,6 +131,40 @@ def test_pseudo_likelihood_learns(spark):
     assert pseudo_likelihood.score_corpus(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("listed", [pseudo_likelihood.LISTED, 700, 0])
+def test_every_word_has_its_own_probability(spark, monkeypatch, listed):
+    """Beyond the named words, in one bucket: a common, a less common and a rare word; the counts listed, half listed, joined."""
+    monkeypatch.setattr(pseudo_likelihood, "LISTED", listed)
+    words = [f"w{i}" for i in range(3000)]
+    raw = [w.encode() for w in words]
+    h, _ = hash_words(np.frombuffer(b" ".join(raw), np.uint8), np.array([0, sum(map(len, raw)) + len(raw) - 1]), ALNUM)
+    bucket = (h % np.uint64(pseudo_likelihood.HASHED)).astype(int)
+    times = {w: 60 for w in words[:448]} | {w: 20 - 19 * i // 2552 for i, w in enumerate(words[448:])}
+    common, rare = next((a, b) for i, a in enumerate(words[448:600], 448) for j, b in enumerate(words[2900:], 2900) if bucket[i] == bucket[j])
+    every = [w for w, n in times.items() for _ in range(n)]
+    random.Random(4).shuffle(every)
+    docs = [(i, " ".join(every[i * 50 : i * 50 + 50]), "en", "s", 1) for i in range(len(every) // 50 + 1)]
+    docs += [(-1, common, "en", "s", 1), (-2, rare, "en", "s", 1), (-2, rare, "en", "s", 1), (None, common, "en", "s", 1)]
+    times[common] += 2
+    times[rare] += 2
+    got = {}
+    for r in pseudo_likelihood.score_corpus(spark.createDataFrame(docs, SCHEMA)).collect():
+        got.setdefault(r["doc_id"], []).append(r["log_prob"])
+    assert len(got[-2]) == 2 and got[-1] == pytest.approx(got[None])
+    assert got[-1][0] - got[-2][0] == pytest.approx(np.log(times[common] / times[rare]), abs=1e-5)
+
+
+def test_shares_of_a_bucket_sum_to_one():
+    n = pseudo_likelihood.HASHED
+    hashes, times = np.arange(7, 7 + 5 * n, n, dtype=np.int64), np.array([9, 5, 3, 2, 1])
+    buckets = np.zeros(n, np.int64)
+    buckets[7] = 20
+    v = pseudo_likelihood.Vocabulary([], [], 20, buckets, hashes[:4], times[:4])
+    seen = hashes.view(np.uint64)
+    share, far = v.shares(np.append(seen, seen[-1] + np.uint64(n)), np.full(6, pseudo_likelihood.NAMED + 7, np.int16))
+    assert np.exp(share).sum() == pytest.approx(1) and far.tolist() == [False] * 4 + [True] * 2
+
+
 def test_pseudo_likelihood_is_a_distribution_and_climbs():
     start = np.arange(1, pseudo_likelihood.SIZE + 1, dtype=float)
     net = pseudo_likelihood.Window(start / start.sum())
