@@ -477,10 +477,15 @@ def score_stats(spark, d):
     return _given(spark, d).agg(F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_samp(s), 6).alias("deviation"), F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"))
 
 
-def _features(spark, d):
+def _features(spark, d, **mined):
     some = _rarity(spark, d).where("block_id not like '%3'")  # blocks without a score are filled
     matrix = traces.log1p_features(occurrence_matrix(spark, d), ALPHABET).withColumn("never", F.lit(0.0))
-    return features.assemble(matrix, fp=some, stats=_stats(spark, d))
+    return features.assemble(matrix, fp=some, stats=_stats(spark, d), **mined)
+
+
+def _all_features(spark, d):
+    """With the mining scores that the SQL of feature_matrix and constant_columns leaves out."""
+    return _features(spark, d, seq=_deviation(spark, d), cluster=_outliers(spark, d))
 
 
 _NORM = [f"{a}_norm" for a in ALPHABET]
@@ -497,8 +502,18 @@ def constant_columns(spark, d):
     return _rounded(features.deviations(_features(spark, d)), "deviation")
 
 
+@query()
+def feature_matrix_full(spark, d):
+    return features.drop_constant(_all_features(spark, d))
+
+
+@query()
+def constant_columns_full(spark, d):
+    return features.deviations(_all_features(spark, d))
+
+
 def _forest(spark, d):
-    f = features.drop_constant(_features(spark, d))
+    f = features.drop_constant(_all_features(spark, d))
     columns = [c for c in f.columns if c != "block_id"]
     return f, iforest.fit_forest(f, columns, 100, 256)
 
