@@ -424,6 +424,11 @@ def unmatched_rows(spark, d):
     return metrics.unmatched(metrics.clean_labels(_labels(spark, d)), _scored(spark, d).where("block_id not like '%0'"))
 
 
+@query()
+def unmatched_rows_full(spark, d):
+    return metrics.unmatched(metrics.clean_labels(_labels(spark, d)), _scored(spark, d))
+
+
 # clusters and features
 
 
@@ -477,15 +482,18 @@ def score_stats(spark, d):
     return _given(spark, d).agg(F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_samp(s), 6).alias("deviation"), F.round(F.min(s), 6).alias("low"), F.round(F.max(s), 6).alias("high"))
 
 
-def _features(spark, d, **mined):
-    some = _rarity(spark, d).where("block_id not like '%3'")  # blocks without a score are filled
-    matrix = traces.log1p_features(occurrence_matrix(spark, d), ALPHABET).withColumn("never", F.lit(0.0))
-    return features.assemble(matrix, fp=some, stats=_stats(spark, d), **mined)
+def _occurrence(spark, d):
+    return traces.log1p_features(occurrence_matrix(spark, d), ALPHABET).withColumn("never", F.lit(0.0))
+
+
+def _features(spark, d):
+    """What the SQL of feature_matrix and constant_columns has: no rarity for ids ending in 3, no sequences or clusters."""
+    some = _rarity(spark, d).where("block_id not like '%3'")
+    return features.assemble(_occurrence(spark, d), fp=some, stats=_stats(spark, d))
 
 
 def _all_features(spark, d):
-    """With the mining scores that the SQL of feature_matrix and constant_columns leaves out."""
-    return _features(spark, d, seq=_deviation(spark, d), cluster=_outliers(spark, d))
+    return features.assemble(_occurrence(spark, d), fp=_rarity(spark, d), seq=_deviation(spark, d), cluster=_outliers(spark, d), stats=_stats(spark, d))
 
 
 _NORM = [f"{a}_norm" for a in ALPHABET]

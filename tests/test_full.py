@@ -4,6 +4,7 @@ import statistics
 
 import pytest
 
+from tesserlog.operators import features, metrics
 from tesserlog.plans import catalogue
 
 D = "/root/testdata/sf0.001"
@@ -32,3 +33,25 @@ def test_forest_reads_every_feature(spark):
     f, forest = catalogue._forest(spark, D)
     assert {"fp_rarity_score", "seq_deviation_score", "cluster_outlier_score", "cluster_id", "log_count"} <= set(forest.columns)
     assert catalogue.score_new(spark, D).count() > 0
+
+
+def test_no_block_loses_its_rarity(spark):
+    rarity = by_block(catalogue.fp_rarity(spark, D), "fp_rarity_score")
+    for table in (catalogue.feature_matrix_full(spark, D), catalogue._forest(spark, D)[0]):
+        got = by_block(table, "fp_rarity_score")
+        assert set(got) == set(rarity)
+        assert all(got[b] == pytest.approx(rarity[b], abs=1e-6) for b in got)
+
+
+def test_missing_scores_are_filled(spark):
+    matrix = spark.createDataFrame([("a", 0.5), ("b", 1.5)], "block_id string, e double")
+    one = spark.createDataFrame([("a", 0.25, 0.75, 0.125, 3)], "block_id string, fp_rarity_score double, seq_deviation_score double, cluster_outlier_score double, cluster_id int")
+    got = by_block(features.assemble(matrix, fp=one, seq=one, cluster=one), *one.columns[1:], "e")
+    assert got == {"a": (0.25, 0.75, 0.125, 3.0, 0.5), "b": (0.5, 0.5, 0.5, -1.0, 1.5)}
+
+
+def test_unmatched_rows(spark):
+    truth = spark.createDataFrame([("a",), ("b",), ("c",)], "block_id string")
+    got = {r["side"]: r["n"] for r in metrics.unmatched(truth, spark.createDataFrame([("b",), ("x",)], "block_id string")).collect()}
+    assert got == {"truth": 2, "predictions": 1}
+    assert {r["side"]: r["n"] for r in catalogue.unmatched_rows_full(spark, D).collect()} == {"truth": 0, "predictions": 0}
