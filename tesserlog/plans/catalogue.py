@@ -217,6 +217,11 @@ def sequences_truncated(spark, d):
     return traces.sequences(_traces(spark, d), 3).select("block_id", scores.render_sequence(F.col("sequence")).alias("rendered"))
 
 
+@query()
+def sequences_truncated_full(spark, d):
+    return traces.sequences(_traces(spark, d)).select("block_id", scores.render_sequence(F.col("sequence")).alias("rendered"))
+
+
 QUERIES["pattern_render"], ORACLE_SQL["pattern_render"] = QUERIES["sequences_truncated"], ORACLE_SQL["sequences_truncated"]
 
 _COUNTS = ", ".join(f"count(*) filter (where event = '{a}')::int as {a}" for a in ALPHABET)
@@ -298,10 +303,10 @@ def pair_support(spark, d):
     return _rounded(patterns.pair_support(_sets(spark, d), SUPPORT), "support")
 
 
-def _normal(spark, d):
+def _normal(spark, d, longest=20):
     normal = metrics.clean_labels(_labels(spark, d))
     t = _traces(spark, d).join(normal, "block_id", "left").where("label is null or label = 'NORMAL'")
-    return patterns.sequential_patterns(traces.sequences(t, 20), SUPPORT, 3)
+    return patterns.sequential_patterns(traces.sequences(t, 20), SUPPORT, longest)
 
 
 POS = f"""{LABELS}, pos as (select block_id, event as e, row_number() over (partition by block_id order by ts, n) as i from ev join labs using (block_id) where label = 'NORMAL' qualify i <= 20),
@@ -314,7 +319,17 @@ BASE = f"{POS}, base as (select s, max(freq) as freq from (select * from often o
 
 @query(f"with {POS} select t as pattern, freq from often")
 def prefixspan_patterns(spark, d):
-    return _normal(spark, d).select(F.array_join(F.flatten("sequence"), ">").alias("pattern"), "freq")
+    """Up to three events, as its SQL."""
+    return _pattern_text(_normal(spark, d, 3))
+
+
+@query()
+def prefixspan_patterns_full(spark, d):
+    return _pattern_text(_normal(spark, d))
+
+
+def _pattern_text(found):
+    return found.select(F.array_join(F.flatten("sequence"), ">").alias("pattern"), "freq")
 
 
 @query(f"with {BASE} select s as signature, freq from base")
@@ -341,7 +356,7 @@ def top_itemsets(spark, d):
 
 @query(f"with {POS} select t as pattern, freq from often order by freq desc, t limit 10")
 def top_sequences(spark, d):
-    return views.top_patterns(prefixspan_patterns(spark, d), "pattern", 10)
+    return views.top_patterns(prefixspan_patterns_full(spark, d), "pattern", 10)
 
 
 @query(f"with {SUBSETS} select 'fp_' || replace(items, ',', '|') as pattern_id, 'itemset' as pattern_type, replace(items, ',', '|') as pattern, freq, round(freq / total, 6) as support from named, tot")

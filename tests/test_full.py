@@ -1,6 +1,9 @@
 """Queries without SQL of their own, against the queries they are made of and brute force."""
 
+import math
 import statistics
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -55,3 +58,32 @@ def test_unmatched_rows(spark):
     got = {r["side"]: r["n"] for r in metrics.unmatched(truth, spark.createDataFrame([("b",), ("x",)], "block_id string")).collect()}
     assert got == {"truth": 2, "predictions": 1}
     assert {r["side"]: r["n"] for r in catalogue.unmatched_rows_full(spark, D).collect()} == {"truth": 0, "predictions": 0}
+
+
+def test_patterns_of_any_length_equal_brute_force(spark):
+    rows = by_block(catalogue._traces(spark, D), "events")
+    normal = {r["block_id"] for r in metrics.clean_labels(catalogue._labels(spark, D)).where("label = 'NORMAL'").collect()}
+    seen = Counter()
+    for b in normal:
+        (e,) = rows[b]
+        seen.update({">".join(c) for k in range(1, len(e) + 1) for c in combinations(e, k)})
+    least = math.ceil(catalogue.SUPPORT * len(normal))
+    want = {p: n for p, n in seen.items() if n >= least}
+    got = {r["pattern"]: r["freq"] for r in catalogue.prefixspan_patterns_full(spark, D).collect()}
+    assert got == want and max(p.count(">") for p in got) > 2
+
+
+def test_baseline_holds_long_windows(spark, tmp_path):
+    """Blocks of one repeated order: no window of four deviates."""
+    kinds = ["click", "view", "purchase", "signup"]
+    rows = [(b * 5 + i, 3 * b + 1, f"2024-01-01 00:00:0{i}", kinds[i % 4], 1.0) for b in range(6) for i in range(5)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = by_block(catalogue.seq_deviation(spark, str(tmp_path)), "matched_subseq_count", "total_subseq_count")
+    assert len(got) == 6 and set(got.values()) == {(9, 9)}
+
+
+def test_sequences_are_cut_at_twenty(spark):
+    rows = by_block(catalogue._traces(spark, D), "events")
+    got = by_block(catalogue.sequences_truncated_full(spark, D), "rendered")
+    assert max(len(e) for (e,) in rows.values()) > 3
+    assert got == {b: ("\u2192".join(e[:20]),) for b, (e,) in rows.items()}
