@@ -6,7 +6,8 @@ quoted block, so that a reply which quotes a whole message that itself quotes ha
 passage for each author. Passages are normalised (case, blanks) and hashed; originals
 are indexed by the hash of their own words as a whole, of each paragraph and of each
 line, and joined on (conversation, hash). A passage belongs to the latest earlier
-turn that has it. A message replies to the original of its shallowest linked passage,
+turn that has it; where none has it as one unit, to the latest that has all its
+paragraphs, each whole or by all its lines. A message replies to the original of its shallowest linked passage,
 the latest of them on ties.
 
 Conversations come out in reply order: by the first turn of the reply chain, then by
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from tesserlog.llm.shared import written
 
 MARKS = r"^([ \t]*>)+"
+PARAGRAPH = r"\n[ \t\r]*\n"
 
 
 def level_of(line: Column) -> Column:
@@ -48,18 +50,27 @@ def body_of(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv, turn, level, hash): the quoted passages of all messages."""
+    """(conv, turn, level, hash, paras): the quoted passages of all messages; each paragraph as its hash ``p`` and those of its lines ``ls``."""
     block = F.explode(F.regexp_extract_all("text", F.lit(r"((?:^|\n)[ \t]*>[^\n]*)+"), 0)).alias("block")
     lines = messages.where(F.col("text").contains(">")).select("conv", "turn", block).select("conv", "turn", F.split("block", "\n").alias("lines"))
     deepest = F.array_max(F.transform("lines", level_of))
     each = lines.select("conv", "turn", "lines", F.explode(F.sequence(F.lit(0), deepest)).alias("level")).where("level > 0")
-    text = normalised(F.array_join(F.transform(F.filter("lines", lambda x: level_of(x) == F.col("level")), unquoted), "\n"))
-    return each.select("conv", "turn", "level", text.alias("t")).where("t <> ''").select("conv", "turn", "level", F.sha2("t", 256).alias("hash")).distinct()
+    raw = F.array_join(F.transform(F.filter("lines", lambda x: level_of(x) == F.col("level")), unquoted), "\n")
+
+    def units(text: Column, cut: str) -> Column:
+        return F.filter(F.split(text, cut), lambda x: normalised(x) != "")
+
+    def digest(text: Column) -> Column:
+        return F.sha2(normalised(text), 256)
+
+    paras = F.transform(units(F.col("raw"), PARAGRAPH), lambda x: F.struct(digest(x).alias("p"), F.array_distinct(F.transform(units(x, "\n"), digest)).alias("ls")))
+    found = each.select("conv", "turn", "level", raw.alias("raw")).where(normalised(F.col("raw")) != "")
+    return found.select("conv", "turn", "level", digest(F.col("raw")).alias("hash"), paras.alias("paras")).distinct()
 
 
 def originals(messages: DataFrame) -> DataFrame:
     """(conv, turn, hash) of every message's own words: whole, by paragraph and by line."""
-    whole, parts, lines = F.array("body"), F.split("body", r"\n[ \t\r]*\n"), F.split("body", "\n")
+    whole, parts, lines = F.array("body"), F.split("body", PARAGRAPH), F.split("body", "\n")
     units = F.array_distinct(F.filter(F.transform(F.concat(whole, parts, lines), normalised), lambda x: x != ""))
     return messages.select("conv", "turn", F.explode(units).alias("u")).select("conv", "turn", F.sha2("u", 256).alias("hash"))
 
@@ -70,8 +81,28 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     quoted = passages(whole)
     # only conversations with quotations are indexed
     index = originals(whole.join(quoted.select("conv").distinct(), "conv", "left_semi")).select("conv", "hash", F.col("turn").alias("at"))
+    key = ["conv", "turn", "level", "hash"]
     met = quoted.join(index, ["conv", "hash"], "left").withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
-    return met.groupBy("conv", "turn", "level", "hash").agg(F.max("at").alias("source"))
+    exact = met.groupBy(*key, "paras").agg(F.max("at").alias("source"))
+    exact = written(exact.withColumn("paras", F.when(F.col("source").isNull(), F.col("paras"))), "chat-exact")
+    parted = exact.where("size(paras) > 1 or size(paras[0].ls) > 1")
+    if not parted.isEmpty():
+        parts = in_parts(parted, index, key)
+        exact = exact.join(parts, key, "left").withColumn("source", F.coalesce("source", "part"))
+    return exact.groupBy(*key).agg(F.max("source").alias("source"))
+
+
+def in_parts(passages: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+    """(key, part): the latest earlier turn that has every paragraph of the passage, whole or by all its lines."""
+    # one text may be quoted with other paragraph breaks
+    paras = passages.select(*key, F.xxhash64("paras").alias("form"), F.size("paras").alias("n"), F.posexplode("paras").alias("i", "para"))
+    line = F.transform("para.ls", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("h")))
+    units = F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("para.p").alias("h"))), line)).alias("u")
+    each = paras.select(*key, "form", "n", "i", F.size("para.ls").alias("lines"), units).select("*", "u.*").drop("u")
+    by = index.select("conv", F.col("hash").alias("h"), "at").distinct()
+    met = each.join(by, ["conv", "h"]).where("at < turn").groupBy(*key, "form", "n", "at", "i", "lines").agg(F.max("whole").alias("whole"), F.sum((~F.col("whole")).cast("int")).alias("held"))
+    full = met.where("whole or held = lines").groupBy(*key, "form", "n", "at").agg(F.count("*").alias("have")).where("have = n")
+    return full.groupBy(*key).agg(F.max("at").alias("part"))
 
 
 def format_conversations(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

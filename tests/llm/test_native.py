@@ -180,3 +180,22 @@ def test_two_writers_get_two_versions(spark, tmp_path):
     b.manifest = stale
     b.append(df)
     assert a.version() == 3 and a.read().count() == 3
+
+
+def test_quotations_of_parts(spark):
+    rows = [
+        (1, 0, "user", "First line\nsecond line\nthird line\nfourth line"),
+        (1, 1, "user", "One paragraph\nof two lines.\n\nAnother one.\n\nThe last\nof three."),
+        (1, 2, "a", "> first LINE\n> third line\nyes"),  # two of four lines
+        (1, 3, "a", "> One paragraph of\n> two lines.\n>\n> The last\n> of three.\nyes"),  # two of three paragraphs, one wrapped anew
+        (1, 4, "a", "> First line\n> Another one.\nno"),  # of two messages
+        (1, 5, "user", "third line\nFirst line"),
+        (1, 6, "a", "> First line\n> third line\nyes"),  # the later of two
+        (1, 7, "a", "> Another one.\n>\n> The last\nyes"),  # a paragraph, and a line of one
+        (1, 8, "a", "> later line\n> and more\n"), (1, 9, "user", "later line\nx\nand more"),  # not yet said
+        (2, 1, "a", "> First line\n> third line"),  # another conversation
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in threads.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r["reply_to"] for k, r in got.items() if r["n_quoted"]} == {(1, 2): 0, (1, 3): 1, (1, 4): None, (1, 6): 5, (1, 7): 1, (1, 8): None, (2, 1): None}
+    assert all(r["n_quoted"] <= 1 and r["n_linked"] == (r["reply_to"] is not None) for r in got.values())
+    assert got[1, 2]["root_turn"] == 0 and got[1, 7]["root_turn"] == 1
