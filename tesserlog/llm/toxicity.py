@@ -10,7 +10,7 @@ document as a bag of windows: the windows that score highest carry the label.
 
 The classifier is fitted on a bounded sample: at most ``MAX_POSITIVE`` toxic and
 ``MAX_NEGATIVE`` other labelled documents, first by a hash of the id, and at most
-``MAX_BYTES`` of text. Null, empty and word-less texts have score 0.
+``MAX_BYTES`` of text, half for each; a text that does not fit is passed over. Null, empty and word-less texts have score 0.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tesserlog.llm.textops import ALNUM, _LOWER, hash_words, mix, runs, text_buffers
 
-WINDOW, STRIDE, STATES = 32, 24, 8
+WINDOW, STRIDE, STATES = 32, 16, 8
 MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES = 800, 1600, 24_000_000
 _SLOTS_BITS, _INPUTS = 18, 4
 _BATCH = 1024
@@ -324,10 +324,11 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         ids = rows.where(F.col("y") == y).select("id", "size").orderBy(F.xxhash64("id"), "id").limit(most).collect()
         held, chosen = 0, []
         for r in ids:
-            held += r["size"]
-            if held > max_bytes // 2 and chosen:
-                break
-            chosen.append(r["id"])
+            if held + r["size"] <= max_bytes // 2:
+                held += r["size"]
+                chosen.append(r["id"])
+        if ids and not chosen:
+            chosen = [min(ids, key=lambda r: r["size"])["id"]]
         source = labelled.where(F.col(label_col).cast("int") == y) if texts_of is None else texts_of
         some = source.where(F.col(id_col).isin(chosen) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         found = {r["id"]: r["text"] for r in some.collect()} if chosen else {}

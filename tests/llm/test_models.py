@@ -131,6 +131,24 @@ def test_pseudo_likelihood_learns(spark):
     assert pseudo_likelihood.score_corpus(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_toxicity_windows_hold_every_short_passage():
+    counts = np.array([0, 1, 31, 33, 48, 49, 200])
+    begin, length, text = toxicity._windows(counts)
+    starts = np.cumsum(counts) - counts
+    for t, n in enumerate(counts):
+        own = [(b - starts[t], b - starts[t] + k) for b, k in zip(begin[text == t], length[text == t])]
+        assert all(any(a <= i and i + 16 <= b for a, b in own) for i in range(n - 15))
+
+
+def test_toxicity_sample_passes_over_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: (texts, labels.tolist()))
+    docs = spark.createDataFrame([(i, "x" * (900 if i in (3, 7) else 10) + str(i), i % 2) for i in range(20)], "doc_id long, text string, toxic int")
+    texts, labels = toxicity.learn(docs, max_bytes=400)
+    assert len(texts) == 18 and labels.count(1) == 8 and max(map(len, texts)) < 20
+    texts, labels = toxicity.learn(docs.where("doc_id in (3, 7, 4)"), max_bytes=400)
+    assert sorted(labels) == [0, 1]
+
+
 @pytest.mark.parametrize("listed", [pseudo_likelihood.LISTED, 700, 0])
 def test_every_word_has_its_own_probability(spark, monkeypatch, listed):
     """Beyond the named words, in one bucket: a common, a less common and a rare word; the counts listed, half listed, joined."""
