@@ -14,10 +14,14 @@ The incidence matrix A (documents x hashed word n-grams) is cut twice.
 2. *Their product.* Each diagonal block is multiplied, A A', over slices of its
    columns. Overlap counts accumulate slice by slice; a pair whose count plus the
    columns still to come cannot reach its bound is dropped, and the product ends
-   early when no pair is open. Diagonal blocks larger than a task are cut into row
-   blocks whose pairs are separate tasks.
+   early when no pair is open. Inside a diagonal block a slice is held dense, as its
+   rows share most of their columns; between blocks nothing is formed. Diagonal blocks
+   larger than a task are cut into row blocks whose pairs are separate tasks.
 
-Equal sets are one row (their digest), so copies meet only in aggregates.
+Equal sets are one row (their digest), so copies meet only in aggregates. Fingerprints
+of which a single one is more than 1 / ``SHARE`` of all (there are at most ``SHARE``) are
+found by counts that the tasks send along, and never meet in one task. Texts are read
+again only where a bitmap of fixed size says that their id may be in a diagonal block.
 
 Columns of the input other than id and text are not read. Null, empty and word-less
 texts have an empty set and link with nothing. Rows with a null id get a row of the
@@ -34,15 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserlog.llm.shared import connected_components, written
+from tesserlog.llm.shared import connected_components, free_name, id_sieve, sift, written
 from tesserlog.llm.textops import BLANK_SPLIT, hash_words, mix, slices, text_buffers
 
 ROWS_PER_BLOCK, CELLS_PER_BLOCK = 2000, 1_000_000
 FLUSH, STRIP = 2_000_000, 256
 #: Blocks in which linked rows of more than a few n-grams agree at least, and the rows of a fingerprint from which it is common.
-SPARE, COMMON = 4, 8
-#: kind 0: id, digest and size of a row; kind 1: a fingerprint and the digest that has it. Flat, so that a reader holds few rows at a time.
-_FACTS = "kind int, a long, b long, n long"
+SPARE, COMMON, SHARE = 4, 8, 4096
+#: kind 0: id, digest and size of a row, hash of its text; kind 1: a fingerprint and the digest that has it; kind 2: a fingerprint
+#: and how often a task has met it. Flat, so that a reader holds few rows at a time.
+_FACTS = "kind int, a long, b long, n long, t long"
 
 
 def shingle_sets(words: np.ndarray, counts: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -115,7 +120,7 @@ class Bands:
 def _facts(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, held = Bands(percent), set(), []
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
 
         def facts(kind: int, *columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], schema=schema)
@@ -123,12 +128,20 @@ def _facts(size: int, percent: int):
         def many(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(keys), 32768):
                 part = slice(i, i + 32768)
-                yield facts(1, pa.array(keys[part].view(np.int64)), pa.array(nodes[part]), pa.nulls(len(keys[part]), pa.int64()))
+                none = pa.nulls(len(keys[part]), pa.int64())
+                yield facts(1, pa.array(keys[part].view(np.int64)), pa.array(nodes[part]), none, none)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                yield from many(np.concatenate([k for k, _ in held]), np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held]))
+                keys = np.concatenate([k for k, _ in held])
+                yield from many(keys, np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held]))
                 held.clear()
+                keys.sort()
+                begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                often = np.diff(np.append(begin, len(keys)))
+                begin, often = begin[often > COMMON], often[often > COMMON]
+                none = pa.nulls(len(begin), pa.int64())
+                yield facts(2, pa.array(keys[begin].view(np.int64)), none, pa.array(often), none)
 
         cells = 0
         for batch in (part for whole in batches for part in slices(whole, 1)):
@@ -142,7 +155,7 @@ def _facts(size: int, percent: int):
                     seen.add(digests[-1])
                     held.append((bands.keys(grams), digests[-1]))
                     cells += len(held[-1][0])
-            yield facts(0, batch.column(0).cast(pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()))
+            yield facts(0, batch.column(0).cast(pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), batch.column(2))
             if cells > FLUSH:
                 yield from flush()
                 cells = 0
@@ -191,8 +204,8 @@ def _pair_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from settled(keys, nodes)
 
 
-def _candidates(keys: DataFrame) -> DataFrame:
-    """Edges between rows that may link, from (keys, nodes).
+def _candidates(keys: DataFrame, met_often: DataFrame) -> DataFrame:
+    """Edges between rows that may link, from (keys, nodes) and (keys, n), how often tasks have met their common fingerprints.
 
     A linked pair agrees in ``SPARE`` blocks or more. Agreements in fingerprints that
     few rows have are counted by pair; those in common fingerprints are at most as many
@@ -200,12 +213,18 @@ def _candidates(keys: DataFrame) -> DataFrame:
     ``SPARE`` or more common fingerprints may link by these alone and are joined to one
     of their holders. Fingerprints without the last bit set join always.
     """
-    met = written(keys.repartition("keys").sortWithinPartitions("keys", "nodes").mapInArrow(_pair_stream, "kind int, u long, v long"), "ngram-met")
-    rows = met.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("node"))
+    total = keys.count()
+    hot = F.broadcast(written(met_often.groupBy("keys").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON, total // SHARE)).select("keys"), "ngram-hot"))
+    few = keys.join(hot, "keys", "left_anti").repartition("keys").sortWithinPartitions("keys", "nodes")
+    met = written(few.mapInArrow(_pair_stream, "kind int, u long, v long"), "ngram-met")
+    many = keys.join(hot, "keys", "left_semi").distinct()
+    rows = written(met.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("node")).union(many), "ngram-common")
     several = F.col("key").bitwiseAND(F.lit(1)) == 1
     able = rows.groupBy("node").agg(F.count(F.when(several, 1)).alias("n"))
     common = rows.join(able, "node").where(~several | (F.col("n") >= SPARE)).select("key", "node")
-    star = common.join(common.groupBy("key").agg(F.min("node").alias("v")), "key").select(F.col("node").alias("u"), "v").where("u <> v")
+    common = written(common, "ngram-common")
+    centre = written(common.groupBy("key").agg(F.min("node").alias("v")), "ngram-centre")
+    star = common.join(centre, "key").select(F.col("node").alias("u"), "v").where("u <> v")
     pairs = met.where("kind = 0").groupBy("u", "v").agg(F.count("*").alias("agree"))
     more = lambda c: able.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
     most = F.col("agree") + F.least(F.coalesce("n_u", F.lit(0)), F.coalesce("n_v", F.lit(0)))
@@ -320,16 +339,13 @@ def _sets(size: int):
     return run
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (least id reachable over links), n_copies of its set.
-
-    Two rows link when 100 * |intersection| >= percent * |union| of their distinct word n-grams.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, digest, n, t) of every row and (digest, comp, component) of every distinct set: its group and the group's least id."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    facts = written(texts.mapInArrow(_facts(size, percent), _FACTS), "ngram-facts")
-    rows = facts.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("digest"), "n")
+    facts = written(texts.withColumn("t", F.xxhash64("text")).mapInArrow(_facts(size, percent), _FACTS), "ngram-facts")
+    rows = facts.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("digest"), "n", "t")
     keys = facts.where("kind = 1").select(F.col("a").alias("keys"), F.col("b").alias("nodes"))
-    near = connected_components(_candidates(keys), "ngram-near")
+    near = connected_components(_candidates(keys, facts.where("kind = 2").select(F.col("a").alias("keys"), "n")), "ngram-near")
 
     classes = rows.where("digest is not null and id is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     members = near.union(near.select(F.col("comp").alias("node"), "comp").distinct()).join(classes, "node")
@@ -350,19 +366,28 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             F.when(F.col("b") == F.col("o"), 1).otherwise(0).alias("same"),
         )
     )
-    # merged at every size, so that its cost grows evenly
-    sets = texts.join(dealt.hint("merge"), "id").select("node", "comp", "task", "side", "same", "text").mapInArrow(
+    near_texts = sift(texts, id_sieve(members.select(F.col("rep").alias("id"))))
+    sets = near_texts.join(dealt, "id").select("node", "comp", "task", "side", "same", "text").mapInArrow(
         _sets(size), "node long, comp long, task long, side int, same int, grams binary"
     )
     links = written(sets.groupBy("task").applyInPandas(_product(percent), "u long, v long"), "ngram-links")
     linked = connected_components(links, "ngram")
 
     of = linked.union(linked.select(F.col("comp").alias("node"), "comp").distinct())
-    least = of.join(classes, "node").groupBy("comp").agg(F.min("rep").alias("component"))
-    of = of.join(least, "comp").select("node", "component")
-    by_class = classes.join(of, "node", "left").select(F.col("node").alias("digest"), F.coalesce("component", "rep").alias("component"))
+    least = written(of.join(classes, "node").groupBy("comp").agg(F.min("rep").alias("component")), "ngram-least")
+    of = of.join(least, "comp").select("node", "comp", "component")
+    by_class = classes.join(of, "node", "left").select(F.col("node").alias("digest"), F.coalesce("comp", "node").alias("comp"), F.coalesce("component", "rep").alias("component"))
     # a written table, so that a digest with many rows can be split over tasks
-    out = rows.join(written(by_class, "ngram-classes"), "digest", "left").select(
+    return rows, written(by_class, "ngram-classes")
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (least id reachable over links).
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their distinct word n-grams.
+    """
+    rows, by_class = _classes(docs, id_col, text_col, size, percent)
+    out = rows.join(by_class, "digest", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
@@ -371,9 +396,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, one of each; rows with a null id stay."""
-    comp = ngram_components(docs, id_col, text_col, size, percent)
-    keep = comp.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    """One row of ``docs`` for each group of linked rows: the least id, of its texts the one of least hash, of equal rows any.
 
+    Rows without words and rows with a null id link with nothing and stay, of rows with equal id and text one.
+    """
+    rows, by_class = _classes(docs, id_col, text_col, size, percent)
+    each = rows.where("id is not null").join(by_class.select("digest", "comp"), "digest", "left").groupBy("comp", "id", "t").agg(F.count("*").alias("times"))
+    each = written(each, "ngram-each")
+    first = written(each.where("comp is not null").groupBy("comp").agg(F.min(F.struct("id", "t")).alias("r")).select("comp", "r.*"), "ngram-first")
+    first = first.select("comp", F.col("id").alias("first_id"), F.col("t").alias("first_t"))
+    stays = F.col("comp").isNull() | ((F.col("id") == F.col("first_id")) & (F.col("t") == F.col("first_t")))
+    each = written(each.join(first, "comp", "left").select("id", "t", "times", stays.alias("stays")), "ngram-stays")
+    # only rows whose id belongs to a row that goes are shuffled with their texts
+    sieve = written(id_sieve(each.where("not stays or times > 1")), "ngram-sieve")
+    keep = sift(each.where("stays").select("id", "t"), sieve)
+    keep = keep.select(F.col("id").alias(free_name(docs, "keep_id")), F.col("t").alias(free_name(docs, "keep_text")))
+    met = sift(docs, sieve, id_col)
+    same = (met[id_col].cast("long") == keep[keep.columns[0]]) & (F.xxhash64(met[text_col].cast("string")) == keep[keep.columns[1]])
+    kept = met.join(keep, same, "left_semi").dropDuplicates([id_col, text_col])
+    return sift(docs, sieve, id_col, inside=False).union(kept).union(docs.where(F.col(id_col).isNull()))

@@ -1,8 +1,8 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Each document is cut into pieces of at most the largest permitted length. Pieces are
-dealt by a hash into shards of about ``SHARD`` pieces, and every shard is packed in
-falling order of length:
+Each document is cut into pieces of at most the largest permitted length. The pieces
+are counted, dealt by a hash into shards of about ``SHARD`` pieces, and every shard is
+packed in falling order of length:
 
 - a piece goes to the open bin that it leaves the least room in (best fit);
 - where none fits, the capacity of least cost is opened. A bin of capacity c costs
@@ -12,7 +12,10 @@ falling order of length:
 
 A document's length is its number of words (runs of other than blanks). Null, empty
 and word-less texts have no piece and are not in the result; a repeated id counts as
-several documents. Hash shards hold a bounded number of pieces whatever the ids.
+several documents. The hash is of the row and the piece, both fixed in a written table
+of lengths, so that neither a repeated id nor a very long document fills one shard.
+Equal lengths go by row, then piece. The result says where pieces go (a document's words
+from ``first_word`` on); texts are not moved.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserlog.llm.shared import written
+
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD = 50_000
 OVERHEAD, QUADRATIC = 16.0, 1 / 32768
@@ -74,25 +79,33 @@ def pack(lengths: np.ndarray, capacities: Sequence[int] = CAPACITIES, overhead:
     return bins, offsets, final[bins] if len(bins) else bins
 
 
-def pieces_of(docs: DataFrame, id_col: str, text_col: str, largest: int) -> DataFrame:
-    """(id, piece, n): the document's words in pieces of at most ``largest``."""
+def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id as text, row, n_words) of the rows with words, written: row numbers stay what they are."""
     n = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = docs.select(F.col(id_col).alias("id"), n.alias("n_words")).where("n_words > 0")
+    sized = docs.select(F.col(id_col).cast("string").alias("id"), n.alias("n_words")).withColumn("row", F.monotonically_increasing_id())
+    return written(sized.where("n_words > 0").select("id", "row", "n_words"), "pack-words")
+
+
+def pieces_of(sized: DataFrame, largest: int) -> DataFrame:
+    """(id, row, piece, n): each document's words in pieces of at most ``largest``."""
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_words") - 1) / largest)))
-    return sized.select("id", "n_words", piece.alias("piece")).select("id", "piece", F.least(F.lit(largest).cast("long"), F.col("n_words") - F.col("piece") * largest).alias("n"))
+    left = F.col("n_words") - F.col("piece") * largest
+    return sized.select("id", "row", "n_words", piece.alias("piece")).select("id", "row", "piece", F.least(F.lit(largest).cast("long"), left).alias("n"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacities: Sequence[int] = CAPACITIES, shard: int = SHARD) -> DataFrame:
     """One row per piece: id, piece, n_words, first_word (in the text), shard, bin, bin_offset, capacity."""
     largest = max(capacities)
-    shards = max(1, -(-docs.count() // shard))
-    dealt = pieces_of(docs, id_col, text_col, largest).withColumn("shard", F.pmod(F.xxhash64("id", "piece", "n"), F.lit(shards)))
+    sized = word_counts(docs, id_col, text_col)
+    pieces = sized.agg(F.sum(F.floor((F.col("n_words") - 1) / largest) + 1)).first()[0] or 0
+    shards = max(1, -(-int(pieces) // shard))
+    dealt = pieces_of(sized, largest).withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece", "n"], kind="stable")
+        pdf = pdf.sort_values(["row", "piece"], kind="stable")
         bins, offsets, capacity = pack(pdf["n"].to_numpy(np.int64), capacities)
-        return pdf.assign(bin=bins, bin_offset=offsets, capacity=capacity)
+        return pdf.drop(columns="row").assign(bin=bins, bin_offset=offsets, capacity=capacity)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    packed = dealt.groupBy("shard").applyInPandas(run, f"id {kind}, piece long, n long, shard long, bin long, bin_offset long, capacity long")
-    return packed.select(F.col("id").alias(id_col), "piece", F.col("n").alias("n_words"), (F.col("piece") * largest).alias("first_word"), "shard", "bin", "bin_offset", "capacity")
+    kind = docs.schema[id_col].dataType
+    packed = dealt.groupBy("shard").applyInPandas(run, "id string, piece long, n long, shard long, bin long, bin_offset long, capacity long")
+    return packed.select(F.col("id").cast(kind).alias(id_col), "piece", F.col("n").alias("n_words"), (F.col("piece") * largest).alias("first_word"), "shard", "bin", "bin_offset", "capacity")

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of our own on one machine, as in tests; on a cluster an error, as executors would not share it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tesserlog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -27,34 +32,61 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tesserlog/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back: lineage is cut there."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete a scratch table that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for root in {f.rsplit("/part-", 1)[0].split("/kind=")[0] for f in df.inputFiles()}:
-        if "/tesserlog/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for root in {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}:
+            if "/tesserlog/" in root:
+                path = jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """``wish``, or with underscores behind it, so that it clashes with no column of ``df`` (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+#: Bits of a sieve. Its rows are at most a 32nd of them, a size that allows a broadcast whatever the number of ids.
+SIEVE = 1 << 23
+
+
+def id_sieve(ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """A bitmap of hashed ids, (word, bits): ``sift`` finds by it every row whose id is among ``ids``, and some others."""
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(SIEVE))
+    each = ids.where(F.col(id_col).isNotNull()).select(h.alias("h"))
+    return each.groupBy(F.expr("h div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("bits"))
+
+
+def sift(rows: DataFrame, sieve: DataFrame, id_col: str = "id", inside: bool = True) -> DataFrame:
+    """The rows whose id may be in the sieve, or else all others with an id. No row is shuffled."""
+    word, bits = free_name(rows, "sieve_word"), free_name(rows, "sieve_bits")
+    h = f"pmod(xxhash64(cast(`{id_col}` as long)), {SIEVE})"
+    bitmap = F.broadcast(sieve.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    met = rows.where(F.col(id_col).isNotNull()).join(bitmap, F.expr(f"{h} div 32") == F.col(word), "inner" if inside else "left")
+    hit = F.expr(f"(`{bits}` & shiftleft(1L, cast({h} % 32 as int))) != 0")
+    return met.where(hit if inside else ~F.coalesce(hit, F.lit(False))).select(*[rows[c] for c in rows.columns])
 
 
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """Label every node of ``edges(u, v)`` with the least node of its component.
 
     Alternating large-star / small-star rounds (Kiveris et al., 2014): the edge set
-    only ever shrinks towards one star per component, and hub nodes meet in
-    aggregates that combine map-side and in joins that AQE may split. Each round is
-    a written table. Returns (node, comp) for nodes with at least one edge to another node.
+    only ever shrinks towards one star per component. Hub nodes meet in aggregates that
+    combine map-side, whose results are written, so that both sides of the joins that
+    follow are plain exchanges and adaptive execution can split a hub's partition. Each
+    round is a written table. Returns (node, comp) for nodes with at least one edge to another node.
     """
     e = written(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{tag}-e"
@@ -67,12 +99,12 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         state = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        first = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-m")
+        large = written(both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-l")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-m")
         small = (
             large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
         )
         last, e = e, written(small.distinct(), f"{tag}-e")
-        drop_scratch(last)
+        drop_scratch(last, first, large, least)
