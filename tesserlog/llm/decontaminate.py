@@ -9,28 +9,32 @@ occurrences and their places. Words outside the test vocabulary are one symbol t
 no test suffix contains, and a text end is a symbol of its own, so that no match
 crosses texts.
 
-The benchmark is read by the driver in chunks of ``CHUNK_BYTES`` and each chunk is
-sent to the tasks by itself, so that nothing of unbounded size is broadcast; the
-places found accumulate along the row, without a shuffle.
+The driver reads the benchmark in chunks of ``CHUNK_BYTES``; each is a broadcast of its
+own. One Python stage reads the documents once: where there are several chunks, a task
+holds ``GROUP_BYTES`` of text and one chunk at a time. There is no shuffle.
 
-Null, empty and word-less texts have no words and are not contaminated. Null,
-empty and word-less items match nothing. Repeated item ids count once.
+Consecutive windows of one item at consecutive places are one verbatim match; a
+document's longest (of equal ones the first) comes with its place.
+
+Null, empty and word-less texts have no words and are not contaminated. Null, empty and
+word-less items match nothing. Repeated item ids count once; an item with a null id is
+searched, but is not among the items found. Columns of ``docs`` stay, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserlog.llm.shared import free_name
 from tesserlog.llm.textops import ALNUM, hash_words, mix, text_buffers
 
-CHUNK_BYTES = 8_000_000
-#: Words of a suffix that the arrays are sorted by; longer matches are followed from the place found.
+CHUNK_BYTES, GROUP_BYTES = 8_000_000, 32_000_000
+#: Words of a suffix that the arrays are sorted by, or as many as a window has; longer matches are followed from the place found.
 KEY_WORDS = 32
 _END, _OTHER = 1, 2
 
@@ -40,8 +44,8 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        raw = [t.encode() for _, t in items]
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        raw = [t.encode("utf-8", "surrogatepass") for _, t in items]
         off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         words, counts = hash_words(np.frombuffer(b"".join(raw), np.uint8), off, ALNUM)
         self.window, self.vocabulary = window, np.unique(words)
@@ -59,12 +63,13 @@ class TestSuffixes:
         #: Words that an occurrence spans; 0 where the suffix is shorter than its item's window.
         self.span = np.where(self.left >= np.minimum(window, whole), np.minimum(window, whole), 0)
         self.ids = ids
-        self.keys = suffix_keys(ids, np.arange(len(ids)), self.left)
+        self.words = max(KEY_WORDS, window)
+        self.keys = suffix_keys(ids, np.arange(len(ids)), self.left, self.words)
         heads = np.minimum(3, np.maximum(self.span, 1))
         self.heads = {k: np.unique(head_hash(ids, np.flatnonzero((heads == k) & (self.span > 0)), k)) for k in (1, 2, 3)}
 
 
-def suffix_keys(ids: np.ndarray, at: np.ndarray, left: np.ndarray, words: int = KEY_WORDS) -> np.ndarray:
+def suffix_keys(ids: np.ndarray, at: np.ndarray, left: np.ndarray, words: int) -> np.ndarray:
     """Big-endian bytes of the first words of each suffix; a suffix that ends earlier is padded with the text end."""
     grid = at[:, None] + np.arange(words)
     keys = np.where(np.arange(words) < left[:, None], ids[np.minimum(grid, max(len(ids) - 1, 0))] if len(ids) else 0, _END)
@@ -98,7 +103,7 @@ class Shard:
                 h = head_hash(self.ids, known[able], k)
                 keep[able] |= hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
         self.at, self.doc, self.left = known[keep], doc[keep], left[keep]
-        keys = suffix_keys(self.ids, self.at, self.left)
+        keys = suffix_keys(self.ids, self.at, self.left, tests.words)
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.doc, self.left = keys[order], self.at[order], self.doc[order], self.left[order]
         self.tests = tests
@@ -122,33 +127,36 @@ class Shard:
             out_s.append(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
         return np.concatenate(out_t), np.concatenate(out_s)
 
-    def longest(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix the longest verbatim match in the shard, and the array entry that has it (-1: none).
+    def longest(self, ids: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """For each test suffix the longest verbatim match in the shard, and the array entry that has it (-1: none of ``least`` words).
 
         Of equally long ones the text of least id (``ids``, by text), then its first place.
         """
         t = self.tests
         best, where = np.zeros(len(t.keys), np.int64), np.full(len(t.keys), -1)
-        if not len(self.at):
+        if not len(self.at) or not len(t.keys):
             return best, where
+        have, want = (k.view(np.uint8).reshape(len(k), -1, 4) for k in (self.keys, t.keys))
+        mid = np.searchsorted(self.keys, t.keys)
+        for j in (mid - 1, mid):
+            for some in np.array_split(np.flatnonzero((j >= 0) & (j < len(self.at))), len(t.keys) // 4096 + 1):
+                same = (have[j[some]] == want[some]).all(2)
+                shared = np.where(same.all(1), same.shape[1], np.argmin(same, 1))
+                shared = np.minimum(shared, np.minimum(self.left[j[some]], t.left[some]))
+                best[some] = np.maximum(best[some], shared)
 
         def common(i: int, j: int) -> int:
             n = min(self.left[j], t.left[i])
             apart = np.flatnonzero(self.ids[self.at[j] : self.at[j] + n] != t.ids[i : i + n])
             return int(apart[0]) if len(apart) else int(n)
 
-        mid = np.searchsorted(self.keys, t.keys)
-        for j in (mid - 1, mid):
-            for i in np.flatnonzero((j >= 0) & (j < len(self.at))).tolist():
-                best[i] = max(best[i], common(i, int(j[i])))
-        # more words than the keys hold may stand anywhere among equal keys
         rank = np.lexsort((self.at, ids[self.doc]))
         order = np.empty(len(rank), np.int64)
         order[rank] = np.arange(len(rank))
-        for i in np.flatnonzero(best).tolist():
-            lo, hi = self._range(i, min(int(best[i]), KEY_WORDS))
+        for i in np.flatnonzero(best >= least).tolist():
+            lo, hi = self._range(i, int(best[i]))
             some = np.arange(lo, hi)
-            if best[i] >= KEY_WORDS:
+            if best[i] >= t.words:  # more words than the keys hold may stand anywhere among equal keys
                 far = np.array([common(i, j) for j in range(lo, hi)])
                 best[i], some = far.max(), some[far == far.max()]
             where[i] = some[np.argmin(order[some])]
@@ -162,112 +170,165 @@ class Shard:
         kind = self.keys.dtype
         return int(np.searchsorted(self.keys, low.view(kind).ravel())[0]), int(np.searchsorted(self.keys, high.view(kind).ravel(), "right")[0])
 
-
-def _merge(begin: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
-    """Disjoint sorted intervals that cover the given ones."""
-    order = np.argsort(begin, kind="stable")
-    begin, end = begin[order], np.maximum.accumulate(end[order])
-    new = np.append(True, begin[1:] > end[:-1])
-    return begin[new].tolist(), end[np.append(new[1:], True)].tolist()
-
-
-_PLACES = "n_words long, hit_from array<long>, hit_to array<long>, items array<string>"
-
-
-def _search(items: list[tuple[str, str]], window: int, text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = TestSuffixes(items, window)
+    def matches(self, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, first word in it, words, item) of every verbatim match of a window or more."""
+        t, s = self.occurrences()
+        if not len(t):
+            return s, s, s, s
+        doc, owner = self.doc[s], self.tests.owner[t]
+        at = self.at[s] - (np.cumsum(counts) - counts)[doc]
+        apart = at - self.tests.place[t]
+        order = np.lexsort((at, apart, owner, doc))
+        doc, owner, at, apart, span = doc[order], owner[order], at[order], apart[order], self.tests.span[t][order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (apart[1:] != apart[:-1]) | (at[1:] != at[:-1] + 1))
+        first = np.flatnonzero(new)
+        return doc[first], at[first], np.diff(np.append(first, len(at))) + span[first] - 1, owner[first]
+
+
+def _lists(doc: np.ndarray, values: pa.Array, rows: int) -> pa.Array:
+    """A list for each of ``rows`` texts; ``doc`` is sorted."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(rows + 1)), pa.int32()), values)
+
+
+def _places(counts: np.ndarray, found: list[tuple]) -> pa.Array:
+    """The struct of ``find_contamination`` from matches (text, first word, words, item name)."""
+    rows = len(counts)
+    doc, at, words = (np.concatenate([f[k] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for k in range(3))
+    names = [n for f in found for n in f[3]]
+    # intervals of one text, merged: places are moved apart by text, so that one pass serves all
+    step = int(counts.max(initial=0)) + 2
+    order = np.argsort(doc * step + at, kind="stable")
+    begin, end = (doc * step + at)[order], np.maximum.accumulate((doc * step + at + words)[order])
+    new = np.flatnonzero(np.append(True, begin[1:] > end[:-1])) if len(begin) else order
+    last = np.append(new[1:], len(begin)) - 1 if len(begin) else order
+    of = begin[new] // step
+    best = np.lexsort((at, -words, doc))
+    best = best[np.append(True, doc[best][1:] != doc[best][:-1])] if len(best) else best
+    longest, place, none = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.ones(rows, bool)
+    longest[doc[best]], place[doc[best]], none[doc[best]] = words[best], at[best], False
+    items = sorted({(int(d), n) for d, n in zip(doc.tolist(), names) if n is not None})
+    columns = [
+        pa.array(counts.astype(np.int64)), _lists(of, pa.array(begin[new] - of * step), rows), _lists(of, pa.array(end[last] - of * step), rows),
+        _lists(np.array([d for d, _ in items], np.int64), pa.array([n for _, n in items], pa.string()), rows), pa.array(longest), pa.array(place, mask=none),
+    ]
+    return pa.StructArray.from_arrays(columns, ["n_words", "hit_from", "hit_to", "items", "longest", "longest_at"])
+
+
+_PLACES = "struct<n_words:bigint,hit_from:array<bigint>,hit_to:array<bigint>,items:array<string>,longest:bigint,longest_at:bigint>"
+
+
+class Chunks:
+    """The benchmark in the tasks: one chunk at a time, the only one kept."""
+
+    def __init__(self, bench: DataFrame, item_col: str, text_col: str, window: int):
+        context = bench.sparkSession.sparkContext
+        self.window, self.parts = window, [context.broadcast(c) for c in _chunks(bench, item_col, text_col)]
+        self.kept: TestSuffixes | None = None
+
+    def __iter__(self) -> Iterator[TestSuffixes]:
+        for part in self.parts:
+            if self.kept is None or len(self.parts) > 1:
+                self.kept = TestSuffixes(part.value, self.window)
+                part.__dict__.pop("_value", None)  # the suffixes are enough
+            yield self.kept
+
+    def groups(self, batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[list[tuple]]:
+        """(batch, words, words of each text): single batches for one chunk, else as many as hold ``GROUP_BYTES``."""
+        held, size = [], 0
         for batch in batches:
             data, off = text_buffers(batch.column(text_at))
-            words, counts = hash_words(data, off, ALNUM)
-            shard = Shard(words, counts, tests)
-            t, s = shard.occurrences()
-            doc = shard.doc[s]
-            begin = shard.at[s] - (np.cumsum(counts) - counts)[doc] if len(s) else s
-            order = np.argsort(doc, kind="stable")
-            found = batch.column(batch.schema.names.index("__places")).to_pylist()
-            out = []
-            cuts = np.searchsorted(doc[order], np.arange(batch.num_rows + 1)) if len(s) else np.zeros(batch.num_rows + 1, np.int64)
-            for i in range(batch.num_rows):
-                place = found[i] or {"hit_from": [], "hit_to": [], "items": []}
-                mine = order[cuts[i] : cuts[i + 1]]
-                if len(mine):
-                    a, b = _merge(np.append(place["hit_from"], begin[mine]).astype(np.int64), np.append(place["hit_to"], begin[mine] + tests.span[t[mine]]).astype(np.int64))
-                    names = sorted({*place["items"], *(tests.items[k] for k in np.unique(tests.owner[t[mine]]))})
-                    place = {"hit_from": a, "hit_to": b, "items": names}
-                out.append({"n_words": int(counts[i]), **{k: place[k] for k in ("hit_from", "hit_to", "items")}})
-            columns = [c for c in batch.schema.names if c != "__places"]
-            kind = pa.struct([("n_words", pa.int64()), ("hit_from", pa.list_(pa.int64())), ("hit_to", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, kind)], names=[*columns, "__places"])
-
-    return run
-
-
-def _chunks(bench: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
+            held.append((batch, *hash_words(data, off, ALNUM)))
+            size += len(data)
+            if len(self.parts) < 2 or size > GROUP_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+
+def _chunks(bench: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, str]]]:
     """Items in chunks of bounded bytes; one task's rows at a time come to the driver."""
     rows, held = [], 0
-    for r in bench.where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col)).distinct().toLocalIterator():
-        rows.append((r[0], r[1].translate(_TO_LOWER)))
+    for r in bench.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col)).distinct().toLocalIterator():
+        rows.append((r[0], r[1]))
         held += len(r[1])
         if held > CHUNK_BYTES:
             yield rows
             rows, held = [], 0
-    yield rows
+    if rows:
+        yield rows
+
+
+def find_contamination(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
+    """``docs`` with a last column ``__places`` (or a free name like it): struct of n_words, merged word intervals [hit_from, hit_to), item ids found, words and first word of the longest match."""
+    chunks, at = Chunks(bench, item_col, item_text_col, window), docs.columns.index(text_col)
+    out = free_name(docs, "__places")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in chunks.groups(batches, at):
+            found: list[list[tuple]] = [[] for _ in group]
+            for tests in chunks:
+                for k, (_, words, counts) in enumerate(group):
+                    doc, begin, length, item = Shard(words, counts, tests).matches(counts)
+                    if len(doc):
+                        found[k].append((doc, begin, length, [tests.items[i] for i in item.tolist()]))
+            for (batch, _, counts), mine in zip(group, found):
+                yield pa.RecordBatch.from_arrays([*batch.columns, _places(counts, mine)], names=[*batch.schema.names, out])
 
-_TO_LOWER = {c: c + 32 for c in range(65, 91)}
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast(_PLACES)).schema)
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
-    """``docs`` with a last column ``__places``: struct of n_words, merged word intervals [hit_from, hit_to) and item ids found."""
-    out = docs.withColumn("__places", F.lit(None).cast(f"struct<{_PLACES.replace(' ', ':', 1).replace(', hit_from ', ',hit_from:').replace(', hit_to ', ',hit_to:').replace(', items ', ',items:')}>"))
-    for items in _chunks(bench, item_col, item_text_col):
-        out = out.mapInArrow(_search(items, window, docs.columns.index(text_col)), out.schema)
-    return out
+def _hit(p: Column) -> Column:
+    return F.aggregate(F.zip_with(p["hit_to"], p["hit_from"], lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
 
 
 def judged(found: DataFrame, share: int = 20) -> DataFrame:
-    """Adds n_words, n_hit, n_items, items_sha256 and contaminated (n_hit > 0 and share * n_hit >= n_words)."""
-    p = F.col("__places")
-    hit = F.aggregate(F.zip_with(p["hit_to"], p["hit_from"], lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    """The result of ``find_contamination`` with n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), longest_match and longest_at.
+
+    They take the place of columns of these names.
+    """
+    p = F.col(found.columns[-1])
+    hit = _hit(p)
     return found.withColumns({
         "n_words": p["n_words"],
         "n_hit": hit,
         "n_items": F.size(p["items"]).cast("long"),
-        "items_sha256": F.sha2(F.concat_ws(",", F.array_sort(p["items"])), 256),
+        "items_sha256": F.sha2(F.concat_ws(",", p["items"]), 256),
         "contaminated": (hit > 0) & (share * hit >= p["n_words"]),
+        "longest_match": p["longest"],
+        "longest_at": p["longest_at"],
     })
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int = 13, share: int = 20, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    p = F.col("__places")
-    hit = F.aggregate(F.zip_with(p["hit_to"], p["hit_from"], lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     found = find_contamination(docs, bench, text_col, item_col, item_text_col, window)
-    return found.where(~((hit > 0) & (share * hit >= p["n_words"]))).drop("__places")
+    p = F.col(found.columns[-1])
+    return found.where(~((_hit(p) > 0) & (share * _hit(p) >= p["n_words"]))).drop(found.columns[-1])
 
 
-def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 1) -> DataFrame:
     """The longest verbatim match of every test suffix over all shards: item_id, suffix (word index), words, doc_id, doc_word.
 
-    Suffixes without a match have no row. Ties go to the least document id, then the first place.
+    Suffixes without a match of ``least`` words have no row. Ties go to the least document id (a null one last), then the first place.
     """
-    spark = docs.sparkSession
+    chunks = Chunks(bench, item_col, item_text_col, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in chunks.groups(batches, 1):
+            for tests in chunks:
+                for batch, words, counts in group:
+                    shard = Shard(words, counts, tests)
+                    ids = batch.column(0).to_pylist()
+                    best, where = shard.longest(np.array([np.iinfo(np.int64).max if x is None else x for x in ids], np.int64), least)
+                    i = np.flatnonzero(where >= 0)
+                    doc = shard.doc[where[i]]
+                    yield pa.RecordBatch.from_pydict({
+                        "item_id": pa.array([tests.items[k] for k in tests.owner[i]], pa.string()), "suffix": tests.place[i], "words": best[i],
+                        "doc_id": pa.array([ids[d] for d in doc], pa.int64()), "doc_word": shard.at[where[i]] - (np.cumsum(counts) - counts)[doc],
+                    })
+
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], "item_id string, suffix long, words long, doc_id long, doc_word long")
-    for items in _chunks(bench, item_col, item_text_col):
-
-        def run(batches, items=items):
-            tests = TestSuffixes(items, 1)
-            for batch in batches:
-                words, counts = hash_words(*text_buffers(batch.column(1)), ALNUM)
-                shard = Shard(words, counts, tests)
-                ids = batch.column(0).to_pylist()
-                best, where = shard.longest(np.array([np.iinfo(np.int64).max if x is None else x for x in ids], np.int64))
-                i = np.flatnonzero(where >= 0)
-                doc = shard.doc[where[i]]
-                yield pa.RecordBatch.from_pydict({"item_id": [tests.items[k] for k in tests.owner[i]], "suffix": tests.place[i], "words": best[i], "doc_id": pa.array([ids[d] for d in doc], pa.int64()), "doc_word": shard.at[where[i]] - (np.cumsum(counts) - counts)[doc]})
-
-        out = out.union(texts.mapInArrow(run, out.schema))
+    out = texts.mapInArrow(run, "item_id string, suffix long, words long, doc_id long, doc_word long")
     best = F.max_by(F.struct("doc_id", "doc_word"), F.struct("words", (-F.col("doc_id")).alias("i"), (-F.col("doc_word")).alias("w")))
     return out.groupBy("item_id", "suffix").agg(F.max("words").alias("words"), best.alias("b")).select("item_id", "suffix", "words", "b.doc_id", "b.doc_word")

@@ -66,7 +66,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.judged(decontaminate.find_contamination(docs, _table(spark, sf_dir, "benchmark")))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at")
 
 
 def op10_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,18 +163,21 @@ with w as (
   select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as ws
   from documents),
 b as (
-  select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as ws
+  select row_number() over () as r, item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as ws
   from benchmark),
-win as (select distinct item_id, least(13, len(ws)) as k, unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) as t
-  from b where len(ws) > 0),
+win as (select r, item_id, j, k, unnest(list_transform([1], lambda z: array_to_string(ws[j:j + k - 1], ' '))) as t
+  from (select r, item_id, ws, least(13, len(ws)) as k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) as j from b where len(ws) > 0)),
 occ as (select doc_id, i, k, unnest(list_transform([1], lambda z: array_to_string(ws[i:i + k - 1], ' '))) as t
   from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (select distinct k from win) where len(ws) >= k)),
-found as (select doc_id, i, o.k, item_id from occ o join win on win.k = o.k and win.t = o.t),
+found as (select doc_id, i, j, r, o.k, item_id from occ o join win on win.k = o.k and win.t = o.t),
 hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from found) group by 1),
-items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from found group by 1)
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from found group by 1),
+runs as (select doc_id, r, k, i, i - j as d, i - row_number() over (partition by doc_id, r, i - j order by i) as g from found),
+longest as (select doc_id, count(*) + any_value(k) - 1 as longest_match, min(i) - 1 as longest_at from runs group by doc_id, r, d, g
+  qualify row_number() over (partition by doc_id order by count(*) + any_value(k) desc, min(i)) = 1)
 select doc_id, coalesce(len(ws), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
-  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(ws), 0) as contaminated
-from w left join hit using (doc_id) left join items using (doc_id)
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= coalesce(len(ws), 0) as contaminated, coalesce(longest_match, 0) as longest_match, longest_at
+from w left join hit using (doc_id) left join items using (doc_id) left join longest using (doc_id)
 """,
     "op10_tiered_shards": "select doc_id, cast(strlen(text) as bigint) as n_bytes, sha256(text) as text_sha256 from documents",
 }
