@@ -90,7 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(translate({text}, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')"
+    lower = f"regexp_replace(translate({text}, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.OWN_LINE}', '\\1\\2~\\3', 'g')"
+    out = f"regexp_replace(regexp_replace({lower}, '{licenses.COPYRIGHT_LINE}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')"
     for spelling, unified in licenses.SPELLINGS:
         out = f"replace({out}, '{spelling}', '{unified}')"
     return f"trim({out})"

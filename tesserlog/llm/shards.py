@@ -7,9 +7,11 @@ up; a tier with at least ``FANOUT`` shards is merged into files of the target si
 into one shard of a higher tier where it holds less. Merging coalesces scan tasks, so
 rows are not shuffled and whole texts are read and written once per tier they rise.
 
-A commit writes the manifest of version n + 1 to a hidden file and renames it to its
-place, which a file system does for one writer only; a writer that finds the place
-taken starts again from the newer manifest. Readers see whole versions. Shards that a
+A commit writes the manifest of version n + 1 to a hidden file and puts it in its place
+by an operation that refuses a place already taken: a hard link on a local file system,
+a rename without overwriting (``FileContext``) on others, which HDFS does atomically. The
+writer that is refused starts again from the newer manifest. On object stores whose
+rename is a copy, writers need a lock of their own. Readers see whole versions. Shards that a
 version no longer names go with ``vacuum``. A job that dies leaves files that no
 manifest names.
 
@@ -72,9 +74,29 @@ class ShardStore:
             stream = self._fs.create(hidden, False)
             stream.write(bytearray(json.dumps(made).encode()))
             stream.close()
-            if not self._fs.exists(place) and self._fs.rename(hidden, place):
-                return made
-            self._fs.delete(hidden, False)
+            try:
+                if self._claim(hidden, place):
+                    return made
+            finally:
+                self._fs.delete(hidden, False)
+
+    def _claim(self, hidden, place, link: bool | None = None) -> bool:
+        """Put a file in its place, by a link where the file system is local; False where another writer has taken it."""
+        from py4j.protocol import Py4JJavaError
+
+        jvm = self.spark._jvm
+        try:
+            if self._fs.getScheme() == "file" if link is None else link:
+                local = [jvm.java.nio.file.Paths.get(self._fs.makeQualified(p).toUri().getPath(), self.spark._sc._gateway.new_array(jvm.java.lang.String, 0)) for p in (place, hidden)]
+                jvm.java.nio.file.Files.createLink(*local)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(hidden, place, self.spark._sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+            return True
+        except Py4JJavaError as e:
+            if self._fs.exists(place) and "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
 
     def _listed(self, folder: str) -> list[dict]:
         files = self._fs.listStatus(self._path(folder))

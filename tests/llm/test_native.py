@@ -115,6 +115,37 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_whole_licences_in_the_query(spark, tmp_path):
+    """Whole texts as they are distributed: wrapped, with copyright lines, other spellings, other case."""
+    import textwrap
+
+    known = {}
+    for k, t in licenses.KNOWN:
+        if len(t) > 400:
+            known.setdefault(k, t)
+    assert {"MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense"} <= set(known)
+    rows, want = [], {}
+    for width in (45, 50, 76):
+        for k, t in known.items():
+            i = len(rows)
+            rows.append((i, "Copyright (c) 2019-2024, Some One <a@b.c>\nCopyright © The Others\nAll rights reserved.\n\n" + textwrap.fill(t, width), "en", "s", 1))
+            want[i] = k
+    rows += [(1000, textwrap.fill(known["MIT"], 60) + "\nBut not on Sundays.", "en", "s", 1), (1001, "(c) You may do this\n" + known["ISC"], "en", "s", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op1_license_scan(spark, str(tmp_path))
+    assert {r["doc_id"]: r["license"] for r in out.collect()} == want | {1000: None, 1001: None}
+    c = tables(D)
+    c.sql(f"create or replace view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    agree(out, c, queries.ORACLE_SQL["op1_license_scan"])
+
+
+def test_licences_from_a_folder(spark, tmp_path):
+    (tmp_path / "X-1.0.txt").write_text("Do as\nyou like.\n")
+    docs = spark.createDataFrame([(1, "DO AS YOU LIKE", None, None, 1), (2, licenses.KNOWN[0][1], None, None, 1)], SCHEMA)
+    got = licenses.scan_licenses(docs, known=licenses.read_known(spark, str(tmp_path)).union(licenses.known_digests(spark)))
+    assert {r["doc_id"]: r["license"] for r in got.collect()} == {1: "X-1.0", 2: "MIT"}
+
+
 CHAT = [
     (1, 0, "user", "Hello there\nHow are you?"),
     (1, 1, "assistant", "> hello  THERE\n> How are you?\n\nFine."),
@@ -182,6 +213,22 @@ def test_two_writers_get_two_versions(spark, tmp_path):
     assert a.version() == 3 and a.read().count() == 3
 
 
+def test_one_of_many_writers_gets_a_version(spark, tmp_path):
+    """All read the same version, then commit at once: every commit is there, none has replaced another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [shards.ShardStore(spark, str(tmp_path / "s")) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        for f in [pool.submit(s._commit, lambda last, k=k: {"schema": None, "shards": last["shards"] + [{"path": str(k), "bytes": 1}]}) for k, s in enumerate(stores)]:
+            f.result()
+    assert stores[0].version() == 8 and sorted(s["path"] for s in stores[0].manifest()["shards"]) == [str(k) for k in range(8)]
+    hidden, place = (stores[0]._path(str(tmp_path / "s" / n)) for n in ("hidden", "manifests/v0000000008.json"))
+    stores[0]._fs.create(hidden, False).close()
+    for link in (True, False):
+        assert not stores[0]._claim(hidden, place, link) and len(stores[0].manifest()["shards"]) == 8
+    assert stores[0]._claim(hidden, stores[0]._path(str(tmp_path / "s" / "moved")), False) and not stores[0]._fs.exists(hidden)
+
+
 def test_quotations_of_parts(spark):
     rows = [
         (1, 0, "user", "First line\nsecond line\nthird line\nfourth line"),
