@@ -170,7 +170,7 @@ def known_digests(spark: SparkSession) -> DataFrame:
 
 def read_known(spark: SparkSession, folder: str) -> DataFrame:
     """(digest, license) of the texts in a folder, each file named by its licence, as in GPL-3.0-only.txt."""
-    texts = spark.read.option("wholetext", True).text(folder).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.[a-z]+$", "").alias("license"))
+    texts = spark.read.text(folder, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_name"), r"\.[a-z]+$", "").alias("license"))
     return texts.groupBy(digest(F.col("value")).alias("known")).agg(F.min("license").alias("license"))
 
 
