@@ -10,6 +10,12 @@ turn that has it; where none has it as one unit, to the latest that has all its
 paragraphs, each whole or by all its lines. A message replies to the original of its shallowest linked passage,
 the latest of them on ties.
 
+"The latest earlier" is one pass over passages and originals sorted together: in each
+sorted run the last original seen, before it what earlier runs of the key ended with.
+A passage that every turn of a conversation has costs a row for each turn and no pairs.
+Passages in parts are looked up once for each distinct text of a conversation, by the
+part of it that the fewest turns have.
+
 Conversations come out in reply order: by the first turn of the reply chain, then by
 turn. Positions come from one distributed sort, so that a conversation with a third
 of all messages is still many tasks.
@@ -75,34 +81,68 @@ def originals(messages: DataFrame) -> DataFrame:
     return messages.select("conv", "turn", F.explode(units).alias("u")).select("conv", "turn", F.sha2("u", 256).alias("hash"))
 
 
+def latest_before(asked: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of ``asked(by, turn, ...)`` with ``source``: the latest turn in ``held(by, at)`` under theirs with the same key, null without one."""
+    rest = [c for c in asked.columns if c not in (*by, "turn")]
+    both = asked.withColumn("at", F.lit(None).cast("long")).unionByName(
+        held.select(*by, F.col("at").alias("turn"), *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in rest], "at")
+    )
+    # of one turn what asks comes first, so that it sees earlier turns only
+    placed = both.orderBy(*by, "turn", F.col("at").isNotNull()).withColumn("place", F.monotonically_increasing_id()).withColumn("run", F.shiftright("place", 33))
+    placed = written(placed, "chat-asof")
+    ends = placed.where("at is not null").groupBy(*by, "run").agg(F.max("at").alias("end"))
+    # a key has one row here for each run of the sort that holds some of it
+    runs = placed.select(*by, "run").distinct().join(ends, [*by, "run"], "left")
+    before = F.max("end").over(Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*by, "run", before.alias("earlier"))
+    inside = F.last("at", ignorenulls=True).over(Window.partitionBy(*by, "run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    seen = placed.withColumn("inside", inside).where("at is null").join(runs, [*by, "run"], "left")
+    return seen.select(*by, "turn", *rest, F.coalesce("inside", "earlier").alias("source"))
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     """(conv, turn, level, hash, source): the latest earlier turn with the passage, null without one. Input: conv, turn, text, body."""
     whole = messages.where("conv is not null and turn is not null")
-    quoted = passages(whole)
+    quoted = written(passages(whole), "chat-quoted")
     # only conversations with quotations are indexed
-    index = originals(whole.join(quoted.select("conv").distinct(), "conv", "left_semi")).select("conv", "hash", F.col("turn").alias("at"))
+    index = originals(whole.join(quoted.select("conv").distinct(), "conv", "left_semi")).select("conv", "hash", F.col("turn").alias("at")).distinct()
+    index = written(index, "chat-index")
+    asked = quoted.select("conv", "turn", "level", "hash").distinct()
+    # an original that no passage has is not sorted
+    held = index.join(asked.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+    exact = written(latest_before(asked, held, ["conv", "hash"]), "chat-exact")
     key = ["conv", "turn", "level", "hash"]
-    met = quoted.join(index, ["conv", "hash"], "left").withColumn("at", F.when(F.col("at") < F.col("turn"), F.col("at")))
-    exact = met.groupBy(*key, "paras").agg(F.max("at").alias("source"))
-    exact = written(exact.withColumn("paras", F.when(F.col("source").isNull(), F.col("paras"))), "chat-exact")
-    parted = exact.where("size(paras) > 1 or size(paras[0].ls) > 1")
+    parted = quoted.where("size(paras) > 1 or size(paras[0].ls) > 1").join(exact.where("source is null"), key, "left_semi")
     if not parted.isEmpty():
-        parts = in_parts(parted, index, key)
-        exact = exact.join(parts, key, "left").withColumn("source", F.coalesce("source", "part"))
-    return exact.groupBy(*key).agg(F.max("source").alias("source"))
+        exact = exact.join(in_parts(parted, index), key, "left").withColumn("source", F.coalesce("source", "part"))
+    return exact.select(*key, "source")
 
 
-def in_parts(passages: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
-    """(key, part): the latest earlier turn that has every paragraph of the passage, whole or by all its lines."""
-    # one text may be quoted with other paragraph breaks
-    paras = passages.select(*key, F.xxhash64("paras").alias("form"), F.size("paras").alias("n"), F.posexplode("paras").alias("i", "para"))
+def in_parts(parted: DataFrame, index: DataFrame) -> DataFrame:
+    """(conv, turn, level, hash, part): the latest earlier turn that has every paragraph of the passage, whole or by all its lines."""
+    form = ["conv", "form"]
+    # one text may be quoted with other paragraph breaks, and by many turns
+    parted = written(parted.withColumn("form", F.sha2(F.to_json("paras"), 256)), "chat-parted")
+    forms = parted.groupBy(*form).agg(F.any_value("paras").alias("paras"))
+    paras = forms.select(*form, F.size("paras").alias("n"), F.posexplode("paras").alias("i", "para"))
     line = F.transform("para.ls", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("h")))
     units = F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("para.p").alias("h"))), line)).alias("u")
-    each = paras.select(*key, "form", "n", "i", F.size("para.ls").alias("lines"), units).select("*", "u.*").drop("u")
-    by = index.select("conv", F.col("hash").alias("h"), "at").distinct()
-    met = each.join(by, ["conv", "h"]).where("at < turn").groupBy(*key, "form", "n", "at", "i", "lines").agg(F.max("whole").alias("whole"), F.sum((~F.col("whole")).cast("int")).alias("held"))
-    full = met.where("whole or held = lines").groupBy(*key, "form", "n", "at").agg(F.count("*").alias("have")).where("have = n")
-    return full.groupBy(*key).agg(F.max("at").alias("part"))
+    each = written(paras.select(*form, "n", "i", F.size("para.ls").alias("lines"), units).select("*", "u.*").drop("u"), "chat-units")
+    by = index.select("conv", F.col("hash").alias("h"), "at")
+    # how many turns could hold a paragraph: those that hold it whole, and those that hold its rarest line
+    often = by.join(each.select("conv", "h").distinct(), ["conv", "h"], "left_semi").groupBy("conv", "h").agg(F.count("*").alias("turns"))
+    sized = written(each.join(often, ["conv", "h"], "left").withColumn("turns", F.coalesce("turns", F.lit(0))), "chat-sized")
+    line_of = F.when(~F.col("whole"), F.struct("turns", "h"))
+    para = sized.groupBy(*form, "i").agg(F.sum(F.when(F.col("whole"), F.col("turns"))).alias("w"), F.max(F.when(F.col("whole"), F.col("h"))).alias("p"), F.min(line_of).alias("l"))
+    least = para.groupBy(*form).agg(F.min(F.struct((F.col("w") + F.col("l.turns")).alias("turns"), "i", "p", "l.h")).alias("r"))
+    start = least.where("r.turns > 0").select(*form, F.explode(F.array_distinct(F.array("r.p", "r.h"))).alias("h"))
+    turns = written(start.join(by, ["conv", "h"]).select(*form, "at").distinct(), "chat-turns")
+    met = turns.join(each, form).join(by.withColumn("here", F.lit(True)), ["conv", "h", "at"], "left_semi")
+    have = met.groupBy(*form, "n", "at", "i", "lines").agg(F.max("whole").alias("whole"), F.sum((~F.col("whole")).cast("int")).alias("held"))
+    full = have.where("whole or held = lines").groupBy(*form, "n", "at").agg(F.count("*").alias("have")).where("have = n").select(*form, "at")
+    asked = parted.select(*form, "turn", "level", "hash").distinct()
+    found = latest_before(asked, written(full, "chat-full"), form)
+    return found.groupBy("conv", "turn", "level", "hash").agg(F.max("source").alias("part"))
 
 
 def format_conversations(table: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
