@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserlog.llm.shared import free_name
+from tesserlog.llm.shared import bounded_batches, free_name
 from tesserlog.llm.textops import ALNUM, hash_words, mix, text_buffers
 
 CHUNK_BYTES, GROUP_BYTES = 8_000_000, 32_000_000
@@ -275,7 +275,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, text_col: str = "text"
             for (batch, _, counts), mine in zip(group, found):
                 yield pa.RecordBatch.from_arrays([*batch.columns, _places(counts, mine)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast(_PLACES)).schema)
+    return bounded_batches(docs).mapInArrow(run, docs.withColumn(out, F.lit(None).cast(_PLACES)).schema)
 
 
 def _hit(p: Column) -> Column:
@@ -329,6 +329,6 @@ def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", t
                     })
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = texts.mapInArrow(run, "item_id string, suffix long, words long, doc_id long, doc_word long")
+    out = bounded_batches(texts).mapInArrow(run, "item_id string, suffix long, words long, doc_id long, doc_word long")
     best = F.max_by(F.struct("doc_id", "doc_word"), F.struct("words", (-F.col("doc_id")).alias("i"), (-F.col("doc_word")).alias("w")))
     return out.groupBy("item_id", "suffix").agg(F.max("words").alias("words"), best.alias("b")).select("item_id", "suffix", "words", "b.doc_id", "b.doc_word")

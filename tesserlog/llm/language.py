@@ -7,7 +7,9 @@ between its two places, or the profile length where the profile lacks it. The
 language with the least sum wins; ties go to the first in order of name.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything
-when nothing could be learned. Score: 1 - least sum / largest possible sum.
+when nothing could be learned. Score: 1 - least sum / largest possible sum, the share of
+agreement with the nearest profile; it is not a probability. Every row with text and
+language is learned from, a repeated one as often as it occurs.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserlog.llm.shared import bounded_batches, free_name
+
 PROFILE = 300
 UNKNOWN = "und"
 _PIECE, _BITS = 1 << 20, 18
@@ -80,8 +84,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     size: dict[str, int] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = gram_counts(text)
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+            part = gram_counts(text.as_py())
             held.setdefault(lang, []).append(part)
             size[lang] = size.get(lang, 0) + len(part[0])
             if size[lang] > 1_000_000:
@@ -125,7 +129,7 @@ class Profiles:
 def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> Profiles:
     """Profiles of all documents with text and language. What comes to the driver is ``size`` rows a language."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = bounded_batches(rows).mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     ranked: dict[str, list[int]] = {}
     for r in sorted(counts.withColumn("place", place).where(F.col("place") <= size).collect(), key=lambda r: r["place"]):
@@ -133,19 +137,19 @@ def learn_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return Profiles(ranked, size)
 
 
-def predict_language(docs: DataFrame, profiles: Profiles, text_col: str = "text", out: str = "__language") -> DataFrame:
-    """``docs`` with a last column ``out``: struct of lang_pred and score."""
-    at = docs.columns.index(text_col)
+def predict_language(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """``docs`` with a last column ``__language`` (or a free name like it): struct of lang_pred and score."""
+    at, out = docs.columns.index(text_col), free_name(docs, "__language")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t) for t in batch.column(at).to_pylist()]
+            found = [profiles.predict(t.as_py()) for t in batch.column(at)]
             value = pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
             yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<lang_pred:string,score:double>")).schema)
+    return bounded_batches(docs).mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<lang_pred:string,score:double>")).schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):
-    """Whether crc32 of the id as text falls into the fold kept from learning."""
+    """Whether crc32 of the id as text falls into the fold kept from learning; null, and so in neither part, for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == fold

@@ -1,20 +1,25 @@
 """Approximate nearest neighbours by learned partitions.
 
 On a bounded sample (``SAMPLE`` vectors, first by a hash of the id) the neighbour
-graph is computed and cut into ``PARTS`` parts of equal size by recursive bisection:
-a spectral split at the median, then balanced swaps that lower the cut. A small
-network learns which parts hold a vector's neighbours. Every vector is indexed in its
-most probable part; a query goes to its several most probable parts, whose vectors
-are all reranked by exact inner product in double precision.
+graph is computed and cut into parts of equal size by recursive bisection: a spectral
+split at the median, then balanced swaps that lower the cut. There are so many parts
+(a power of two) that one has ``PART_ROWS`` rows of the table, and ``PARTS`` at most. A small
+network learns, on three quarters of the sample, which parts hold a vector's neighbours.
+Every vector is indexed in its most probable part under a bias for each part that makes
+the parts of the sample equally large; a query goes to its several most probable parts,
+whose vectors are all reranked by exact inner product in double precision.
 
-How many parts a query visits is set on the sample: the least number that finds
+How many parts a query visits is set on the last quarter: the least number that finds
 ``TARGET`` of its true neighbours, and for each query as many more as it takes to hold
 the neighbours asked for. Parts are dealt out in blocks of bounded rows, for vectors
 and queries alike, so a part that holds a third of all vectors is many tasks; equal
-vectors of a block are scored once.
+vectors of a block are scored once. All vectors that may reach a query's k-th best inner
+product are scored again one by one, so that ties are ties and go to the smaller id.
 
 Vectors that are null, zero, of another length than most, or with null or non-finite
-components take no part, and so do rows with a null id. Repeated ids are repeated rows.
+components take no part, and so do rows with a null id. Rows with the query's id are its
+own and not candidates. Other repeated ids are rows of their own: each has a ranking as a
+query, and each takes a place as a candidate.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tesserlog.llm.shared import written
 
-SAMPLE, PARTS, GRAPH, TARGET = 8192, 32, 16, 0.94
-BLOCK = 8192
+SAMPLE, PARTS, PART_ROWS, GRAPH, TARGET = 8192, 128, 256, 16, 0.94
+#: Rows of a block, and scores of a slice of its product.
+BLOCK, CELLS = 32768, 1 << 22
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -101,15 +107,29 @@ class Router:
                 v[i] += 0.01 * (g * g - v[i])
                 w[i] -= 0.01 * (1 - t / (steps + 1)) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
 
+        self.bias = np.zeros(c)
+        z = self._logits(x)
+        for t in range(200):  # equal first choices: a part that has too many rows costs more
+            size = np.bincount((z + self.bias).argmax(1), minlength=c)
+            self.bias -= 0.3 * 0.98**t * np.log((size + 1) / (len(x) / c + 1))
+
     @staticmethod
     def _soft(z):
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """Parts by falling probability; each row is computed by itself, so that equal vectors get equal parts."""
+    def _logits(self, x: np.ndarray) -> np.ndarray:
+        """Each row is computed by itself, so that equal vectors get equal parts."""
         h = np.tanh(np.einsum("nd,du->nu", x * self.scale, self.w[0]) + self.w[1])
-        return np.argsort(-(np.round(np.einsum("nu,uc->nc", h, self.w[2]), 9) + self.w[3]), 1, kind="stable")
+        return np.round(np.einsum("nu,uc->nc", h, self.w[2]), 9) + self.w[3]
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """Parts by falling probability, for a query."""
+        return np.argsort(-self._logits(x), 1, kind="stable")
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that a vector is indexed in."""
+        return (self._logits(x) + self.bias).argmax(1)
 
 
 def fit(x: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
@@ -119,43 +139,54 @@ def fit(x: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
     want = np.zeros((len(x), parts))
     for j in range(graph.shape[1]):
         np.add.at(want, (np.arange(len(x)), part[graph[:, j]]), 1.0)
-    router = Router(x, want / want.sum(1, keepdims=True))
-    order = router.order(x)
-    place = np.argsort(order, 1)
-    # the place, in each row's order, of the part in which each true neighbour is indexed
-    reach = np.take_along_axis(place, order[graph[:, :k], 0], 1)
+    learns = np.arange(len(x)) % 4 != 3 if len(x) >= 64 else np.ones(len(x), bool)
+    router = Router(x[learns], (want / want.sum(1, keepdims=True))[learns])
+    asks = ~learns if not learns.all() else learns
+    place = np.argsort(router.order(x[asks]), 1)
+    # the place, in each query's order, of the part in which each true neighbour is indexed
+    reach = np.take_along_axis(place, router.home(x)[graph[asks, :k]], 1)
     found = np.cumsum(np.bincount(reach.ravel(), minlength=parts)) / reach.size
     return router, int(np.searchsorted(found, TARGET)) + 1
 
 
+_FOUND = "query_row long, query_id long, vec_id long, score double"
+
+
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of a block for each query of a block."""
-    none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    names = ["query_row", "query_id", "vec_id", "score"]
     if not len(queries) or not len(rows):
-        return none
+        return pd.DataFrame({n: np.zeros(0, float if n == "score" else np.int64) for n in names})
     rows = rows.sort_values("id", kind="stable")
-    x = np.stack(rows["v"].to_numpy()).astype(np.float64)
-    distinct, of = np.unique(x, axis=0, return_inverse=True)
+    distinct, of = np.unique(np.stack(rows["v"].to_numpy()).astype(np.float64), axis=0, return_inverse=True)
     ids = rows["id"].to_numpy(np.int64)[np.argsort(of.ravel(), kind="stable")]
     count = np.bincount(of.ravel())
     begin = np.cumsum(count) - count
     q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-    qid = queries["id"].to_numpy(np.int64)
+    row, qid = queries["row"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
+    # sums of products in another order differ by less than this
+    slack = 1e-14 * q.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(distinct, axis=1).max()
     out = []
-    near = min(len(distinct), 2 * k + 2)
-    for i in range(0, len(q), 512):
-        s = q[i : i + 512] @ distinct.T
-        top = np.argpartition(-s, near - 1, 1)[:, :near]
-        for r, cand in enumerate(top):
-            exact = np.einsum("ij,ij->i", np.broadcast_to(q[i + r], (near, q.shape[1])), distinct[cand])
-            many = np.minimum(count[cand], k + 1)  # of equal vectors the least ids are enough
-            vec = np.concatenate([ids[begin[c] : begin[c] + m] for c, m in zip(cand, many)])
-            score = np.repeat(exact, many)
+    step = max(1, CELLS // len(distinct))
+    for i in range(0, len(q), step):
+        s = q[i : i + step] @ distinct.T
+        if len(distinct) > k + 1:
+            least = np.partition(s, len(distinct) - k - 1, 1)[:, len(distinct) - k - 1]
+            asked, cand = np.nonzero(s >= (least - slack[i : i + step])[:, None])
+        else:
+            asked, cand = np.nonzero(np.ones(s.shape, bool))
+        exact = np.concatenate([np.einsum("ij,ij->i", q[i + a], distinct[c]) for a, c in zip(np.array_split(asked, len(asked) // 65536 + 1), np.array_split(cand, len(cand) // 65536 + 1))])
+        cuts = np.searchsorted(asked, np.arange(len(s) + 1))
+        for r in range(len(s)):
+            mine, value = cand[cuts[r] : cuts[r + 1]], exact[cuts[r] : cuts[r + 1]]
+            many = np.minimum(count[mine], 2 * k + 1 if len(ids) > len(distinct) else 1)  # of equal vectors the least ids are enough
+            vec = ids[np.repeat(begin[mine], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            value = np.repeat(value, many)
             ok = vec != qid[i + r]
-            vec, score = vec[ok], score[ok]
-            o = np.lexsort((vec, -score))[:k]
-            out.append((np.full(len(o), qid[i + r]), vec[o], score[o]))
-    return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+            vec, value = vec[ok], value[ok]
+            o = np.lexsort((vec, -value))[:k]
+            out.append((np.full(len(o), row[i + r]), np.full(len(o), qid[i + r]), vec[o], value[o]))
+    return pd.DataFrame({n: np.concatenate([o[j] for o in out]) for j, n in enumerate(names)})
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -168,32 +199,39 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (most["d"] if most else 0))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS, sample: int = SAMPLE) -> DataFrame:
+def part_count(rows: int, most: int = PARTS, part_rows: int = PART_ROWS) -> int:
+    """A power of two that grows with the table."""
+    return 1 << max(0, min(most.bit_length() - 1, (rows // part_rows).bit_length() - 1))
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", parts: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found by largest inner product, ties to the smaller id.
 
     is_query: a condition on column ``id``. All rows but the query's own are candidates.
     """
     rows = usable(vectors, id_col, vec_col)
+    total = rows.count()
     # a share of the hash range that holds the sample with rows to spare, so that tasks do not each send a whole sample
-    share = min(1.0, 2.0 * sample / max(1, rows.count()))
+    share = min(1.0, 2.0 * sample / max(1, total))
     near = rows.where(F.xxhash64("id") < int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else rows
     x = near.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not len(x):
-        return empty
-    while parts > 1 and len(x) < 64 * parts:
-        parts //= 2
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    parts = parts or part_count(total, min(PARTS, max(1, sample // 64)))
     if len(x) > 1:
         router, visits = fit(np.stack(x["v"].to_numpy()), parts, min(k, len(x) - 1))
     else:
-        router, visits = None, 1
+        router, visits, parts = None, 1, 1
 
     def route(batches):
         for b in batches:
-            order = router.order(np.stack(b["v"].to_numpy())) if router is not None and len(b) else np.zeros((len(b), 1), np.int64)
-            yield b.assign(parts=list(order))
+            v = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, 1))
+            known = router is not None and len(b)
+            order, home = (router.order(v), router.home(v)) if known else (np.zeros((len(b), 1), np.int64), np.zeros(len(b), np.int64))
+            yield b.assign(parts=list(order), part=home)
 
-    index = written(rows.mapInPandas(route, "id long, v array<double>, parts array<int>").withColumn("part", F.col("parts")[0]), "ann-index")
+    index = rows.mapInPandas(route, "id long, v array<double>, parts array<int>, part int").withColumn("row", F.monotonically_increasing_id())
+    index = written(index, "ann-index")
     size = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
     blocks = {p: -(-n // BLOCK) for p, n in size.items()}
     spark = rows.sparkSession
@@ -201,20 +239,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     counts = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, size.get(p, 0))])
     before = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(0).cast("long"), lambda a, p: a + counts[p])
     queries = (
-        index.where(is_query).select("id", "v", "parts", F.posexplode("parts").alias("i", "part"))
-        .where((F.col("i") < visits) | ((F.col("i") >= visits) & (before <= k)))
+        index.where(is_query).select("id", "row", "v", "parts", F.posexplode("parts").alias("i", "part"))
+        .where((F.col("i") < visits) | (before <= k))
     )
     asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
     number = spark.createDataFrame([(p, blocks.get(p, 1), max(1, -(-asked.get(p, 0) // BLOCK))) for p in range(parts)], "part int, rb int, qb int")
     number = F.broadcast(number)  # one row for each part
     left = queries.join(number, "part").select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.pmod(F.xxhash64("id"), F.col("qb")).cast("int").alias("q"), "id", "v"
+        "part", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.pmod(F.xxhash64("row"), F.col("qb")).cast("int").alias("q"), "id", "row", "v"
     )
     right = index.join(number, "part").select(
-        F.col("part").alias("p2"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rb")).cast("int").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q2"), F.col("id").alias("id2"), F.col("v").alias("v2")
+        F.col("part").alias("p2"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("rb")).cast("int").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q2"), F.col("id").alias("id2"), F.col("v").alias("v2")
     )
-    found = left.groupBy("part", "r", "q").cogroup(right.groupBy("p2", "r2", "q2")).applyInPandas(lambda a, b: _best(a, b.rename(columns={"id2": "id", "v2": "v"}), k), "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("part", "r", "q").cogroup(right.groupBy("p2", "r2", "q2")).applyInPandas(lambda a, b: _best(a, b.rename(columns={"id2": "id", "v2": "v"}), k), _FOUND)
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

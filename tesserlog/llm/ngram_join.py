@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserlog.llm.shared import connected_components, free_name, id_sieve, sift, written
+from tesserlog.llm.shared import bounded_batches, connected_components, free_name, id_sieve, sift, written
 from tesserlog.llm.textops import BLANK_SPLIT, hash_words, mix, slices, text_buffers
 
 ROWS_PER_BLOCK, CELLS_PER_BLOCK = 2000, 1_000_000
@@ -342,7 +342,7 @@ def _sets(size: int):
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, digest, n, t) of every row and (digest, comp, component) of every distinct set: its group and the group's least id."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    facts = written(texts.withColumn("t", F.xxhash64("text")).mapInArrow(_facts(size, percent), _FACTS), "ngram-facts")
+    facts = written(bounded_batches(texts).withColumn("t", F.xxhash64("text")).mapInArrow(_facts(size, percent), _FACTS), "ngram-facts")
     rows = facts.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("digest"), "n", "t")
     keys = facts.where("kind = 1").select(F.col("a").alias("keys"), F.col("b").alias("nodes"))
     near = connected_components(_candidates(keys, facts.where("kind = 2").select(F.col("a").alias("keys"), "n")), "ngram-near")

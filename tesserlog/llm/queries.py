@@ -34,7 +34,7 @@ def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Scorer:
-    """Learned from the labelled documents outside the held-out fold."""
+    """Learned from the labelled documents outside the held-out fold; a row without id is in no fold."""
     labelled = docs.select("doc_id", F.octet_length("text").alias("size")).join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
     return toxicity.learn(labelled.where(~language.held_out("doc_id", 4, 2)), texts_of=docs)
 
@@ -42,8 +42,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Scorer:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_model(docs, _table(spark, sf_dir, "labels"))
-    score = F.col("__toxic")
-    return toxicity.score_texts(docs, model).select(
+    found = toxicity.score_texts(docs, model)
+    score = F.col(found.columns[-1])
+    return found.select(
         "doc_id", language.held_out("doc_id", 4, 2).alias("held_out"), score.alias("score"), (score >= TOXIC_FROM).cast("int").alias("predicted")
     )
 
@@ -60,7 +61,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language.learn_profiles(docs.where(~language.held_out()))
     found = language.predict_language(docs.select("doc_id", "text"), profiles)
-    return found.select("doc_id", language.held_out().alias("held_out"), "__language.lang_pred", "__language.score")
+    return found.select("doc_id", language.held_out().alias("held_out"), f"{found.columns[-1]}.lang_pred", f"{found.columns[-1]}.score")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,18 @@ def drop_scratch(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes of an Arrow batch between Spark and Python; the last row may go beyond.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; the session's Arrow batches are bounded by bytes, so that whole texts, which rows do not bound, go through Python in little memory."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, or with underscores behind it, so that it clashes with no column of ``df`` (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserlog.llm.shared import bounded_batches, free_name
 from tesserlog.llm.textops import ALNUM, _LOWER, hash_words, mix, runs, text_buffers
 
 WINDOW, STRIDE, STATES = 32, 16, 8
 MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES = 800, 1600, 24_000_000
 _SLOTS_BITS, _INPUTS = 18, 4
-_BATCH = 1024
+_BATCH, _RUN = 1024, 1 << 18
 
 
 def _grams(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +251,7 @@ class Scorer:
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The largest window probability of each text."""
         out = np.zeros(len(off) - 1)
-        for i, j in runs(off):
+        for i, j in runs(off, _RUN):
             words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i])
             _, _, text, logit = self.logits(words)
             np.maximum.at(out, text + i, _sigmoid(logit.astype(np.float64)))
@@ -312,13 +313,16 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, rounds: tuple[int,
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_bytes: int = MAX_BYTES, texts_of: DataFrame | None = None) -> Scorer:
-    """Fit on the bounded sample named above. Rows without text or without a 0/1 label do not count.
+    """Fit on the bounded sample named above. Rows without id, text or 0/1 label do not count.
+
+    Of a repeated id the shortest text is learned, as toxic where any of its rows is.
 
     Where ``texts_of`` has the texts by id, ``labelled`` needs ``size`` (bytes of text) in
     their place, so that it can come from a join that moves no text.
     """
     size = F.octet_length(text_col) if texts_of is None else F.col("size")
-    rows = labelled.select(F.col(id_col).alias("id"), size.alias("size"), F.col(label_col).cast("int").alias("y")).where("size is not null and y in (0, 1)")
+    rows = labelled.select(F.col(id_col).alias("id"), size.alias("size"), F.col(label_col).cast("int").alias("y")).where("id is not null and size is not null and y in (0, 1)")
+    rows = rows.groupBy("id").agg(F.min("size").alias("size"), F.max("y").alias("y"))
     texts, labels = [], []
     for y, most in ((1, max_positive), (0, max_negative)):
         ids = rows.where(F.col("y") == y).select("id", "size").orderBy(F.xxhash64("id"), "id").limit(most).collect()
@@ -329,21 +333,23 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 chosen.append(r["id"])
         if ids and not chosen:
             chosen = [min(ids, key=lambda r: r["size"])["id"]]
-        source = labelled.where(F.col(label_col).cast("int") == y) if texts_of is None else texts_of
+        source = labelled if texts_of is None else texts_of
         some = source.where(F.col(id_col).isin(chosen) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        found = {r["id"]: r["text"] for r in some.collect()} if chosen else {}
-        texts += [found[i] for i in dict.fromkeys(chosen)]
-        labels += [y] * len(dict.fromkeys(chosen))
+        # of an id's texts the shortest, of least hash on ties: what comes to the driver is what was sized above
+        one = some.groupBy("id").agg(F.min_by("text", F.struct(F.octet_length("text"), F.xxhash64("text"))).alias("text"))
+        found = {r["id"]: r["text"] for r in one.collect()} if chosen else {}
+        texts += [found[i] for i in chosen]
+        labels += [y] * len(chosen)
     return fit(texts, np.array(labels, np.int64))
 
 
-def score_texts(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "__toxic") -> DataFrame:
-    """``docs`` with a last column ``out``: the score."""
-    at = docs.columns.index(text_col)
+def score_texts(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
+    """``docs`` with a last column ``__toxic`` (or a free name like it): the score."""
+    at, out = docs.columns.index(text_col), free_name(docs, "__toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = scorer.scores(*text_buffers(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
+    return bounded_batches(docs).mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)

@@ -39,9 +39,11 @@ def test_hash_words_equals_split():
 def test_language_profiles(spark):
     rows = [(i, t * (i % 5 + 1), lang, "s", 1) for i, (t, lang) in enumerate([("the cat and the dog with them ", "en"), ("der hund und die katze mit ihnen ", "de")] * 20)]
     odd = [(100, None, "en", None, None), (101, "", "de", "s", 0), (102, "123 --", "en", "s", 1), (103, "the cat with", None, "s", 1), (103, "the cat with", None, "s", 1), (None, "und die katze", "de", "s", 1)]
-    docs = spark.createDataFrame(rows + odd, SCHEMA).withColumn("__language", F.lit("clash")).drop("__language")
+    docs = spark.createDataFrame(rows + odd, SCHEMA).withColumn("__language", F.lit("clash")).withColumn("__LANGUAGE_", F.lit(1))
     profiles = language.learn_profiles(docs)
-    got = [(r["doc_id"], r["__language"]["lang_pred"], r["__language"]["score"]) for r in language.predict_language(docs, profiles).collect()]
+    found = language.predict_language(docs, profiles)
+    assert found.columns == [*docs.columns, "__language__"]
+    got = [(r["doc_id"], r[-1]["lang_pred"], r[-1]["score"]) for r in found.collect()]
     by = {i: (p, s) for i, p, s in got}
     assert len(got) == 46 and all(by[i][0] == lang for i, _, lang, _, _ in rows)
     assert by[100] == by[101] == by[102] == ("und", 0.0) and by[103][0] == "en" and by[None][0] == "de"
@@ -249,6 +251,53 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert neighbours.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_ties_and_repeated_ids(spark):
+    """200 different vectors of one score, each id twice: ties go to the smaller id, whatever the blocks."""
+    rng = np.random.default_rng(2)
+    side = rng.normal(size=(200, 7))
+    ids = rng.permutation(np.arange(1, 201))
+    rows = [(int(i), [1.0, *map(float, v)]) for i, v in zip(ids, side)]
+    queries = [(1000, [1.0] + [0.0] * 7), (1000, [2.0] + [0.0] * 7), (1020, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame(rows + queries, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") >= 1000, 20).collect():
+        got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    assert {r for q, r in got if q == 1000} == set(range(1, 21)) and all(len(v) == (2 if q == 1000 else 1) for (q, _), v in got.items())
+    assert [sorted(got[1000, r]) for r in range(1, 21)] == [[(i, 1.0), (i, 2.0)] for i in range(1, 21)]
+    assert [got[1020, r] for r in range(1, 21)] == [[(1000, 2.0)]] + [[(i, 1.0)] for i in range(1, 20)]
+    twice = spark.createDataFrame([r for r in rows for _ in range(2)] + queries[2:], df.schema)
+    found = neighbours.nearest(twice, F.col("id") == 1020, 20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [i for i in range(1, 11) for _ in range(2)]
+
+
+def test_neighbours_beyond_the_sample(spark):
+    """Recall of queries of which most were not in the sample, and sizes of the parts that all rows are indexed in."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(40, 24))
+    x = centre[rng.integers(0, 40, 6000)] + 0.3 * rng.normal(size=(6000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 20 == 0, 20, parts=8, sample=1200).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = neighbours.nearest_exact(x, np.arange(6000), np.arange(0, 6000, 20))
+    assert np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+    router, visits = neighbours.fit(x[:1200], 8, 20)
+    size = np.bincount(router.home(x), minlength=8)
+    assert size.max() <= 2.5 * size.mean() and visits < 8
+    assert [neighbours.part_count(n) for n in (0, 255, 600, 10**4, 10**9)] == [1, 1, 2, 32, 128]
+
+
+def test_neighbours_recall_on_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = neighbours.usable(table, "vec_id", "embedding").toPandas()
+    x, ids = np.stack(rows["v"].to_numpy()), rows["id"].to_numpy()
+    got = {}
+    for r in neighbours.nearest(table, F.col("id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = neighbours.nearest_exact(x, ids, np.flatnonzero(ids % 20 == 0))
+    assert len(got) == len(want) and np.mean([len(got[q] & set(w)) / 20 for q, w in want.items()]) >= 0.9
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     part = neighbours.balanced_parts(neighbours.neighbour_graph(rng.normal(size=(1000, 8)), 10), 8)
