@@ -9,14 +9,21 @@ documents, and ``HASHED`` buckets for the rest; words are runs of letters, digit
 non-ASCII characters, lower-cased A-Z. A word of a bucket has the probability of the
 bucket times its share of the bucket's tokens, so that every word of the corpus has its
 own: of n tokens and one for unseen words, count / (n + 1), an unseen word as one seen
-once. Tasks hold the shares of up to ``LISTED`` frequent words; those of all others are
-joined from the count table. The softmax is factored into classes of ``CLASS`` words
-of similar frequency. Every task trains the network in numpy, from the same start,
-on all words of its documents; the weights are averaged by words seen (one-shot
-parameter averaging) in a distributed aggregate, so the driver only ever holds one
-network.
-
-Null, empty and word-less texts have no words and a log-probability of 0.
+once. Tasks hold the shares of up to ``LISTED`` frequent words. Those of all others, the
+rare words, are computed in the cluster, from the count of the word and from a memory of
+all windows of the corpus that stand around rare words, exact words on both sides. With c
+occurrences of the word in its window and C of T rare words of its bucket there, the
+share of the bucket's rare tokens F is ((c - 1) F + T count) / C: one occurrence, the word's
+own, is taken off each, so that a text which occurs once gets nothing from itself, and what
+is taken off goes by the counts, so that shares still sum to one. The softmax is factored into classes of ``CLASS`` words
+of similar frequency. Training goes in ``ROUNDS``: every task trains the network in numpy,
+from where the last round ended, on all words of its documents; the weights are averaged
+by words seen in a distributed aggregate, so the driver only ever holds one network. The
+average of a round depends a little on how documents are dealt to tasks; later rounds
+start from one network and draw layouts together.
+
+Null, empty and word-less texts have no words and a log-probability of 0. Repeated rows are
+learned from and scored as often as they occur. No column but id and text is read.
 """
 
 from __future__ import annotations
@@ -28,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserlog.llm.shared import written
-from tesserlog.llm.textops import ALNUM, hash_words, slices, text_buffers
+from tesserlog.llm.shared import bounded_batches, free_name, written
+from tesserlog.llm.textops import ALNUM, hash_words, mix, slices, text_buffers
 
 NAMED, HASHED, CLASS, SIDE, UNITS = 448, 64, 16, 2, 16
 SIZE = NAMED + HASHED
-LISTED = 65536
+LISTED = 16384
 _PAD = SIZE  # stands outside the text
-_BATCH, _RATE = 16384, 0.1
+_BATCH, _RATE, ROUNDS = 16384, 0.1, 2
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -63,13 +70,15 @@ def count_words(texts: DataFrame) -> DataFrame:
             words, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return bounded_batches(texts).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
     """``buckets``: the tokens of each bucket; ``listed``, ``times``: hashes and counts of frequent words of the buckets."""
 
     def __init__(self, named: list[int], counts: list[int], total: int, buckets: np.ndarray, listed: np.ndarray, times: np.ndarray):
+        #: Tokens of rare words in each bucket.
+        self.rare = buckets - np.bincount((listed.view(np.uint64) % np.uint64(HASHED)).astype(np.int64), times, HASHED).astype(np.int64)
         order = np.argsort(np.array(named, np.int64).view(np.uint64))
         self.words, self.rank = np.array(named, np.int64).view(np.uint64)[order], order
         start = np.full(SIZE, 1.0)
@@ -240,14 +249,36 @@ def learn_vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return vocabulary, counts.where(~often & (F.col("n") > 1))
 
 
+def windows_of(words: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the bucket of each word ``at`` and of the exact words around it, within the text."""
+    ends = np.cumsum(counts)
+    text = np.searchsorted(ends, at, "right")
+    first, last = (ends - counts)[text], ends[text]
+    h = words[at] % np.uint64(HASHED)
+    for step in (*range(-SIDE, 0), *range(1, SIDE + 1)):
+        there = at + step
+        inside = (there >= first) & (there < last)
+        h = mix(h) + np.where(inside, words[np.clip(there, 0, max(0, len(words) - 1))], np.uint64(0))
+    return mix(h)
+
+
 _ROW = 4096
 
 
-def learn_network(texts: DataFrame, vocabulary: Vocabulary) -> Window:
-    """Train in every task on all its words, and average."""
+def learn_network(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Window:
+    """Train in every task on all its words, and average; so many times."""
+    net = Window(vocabulary.start)
+    for _ in range(rounds):
+        _learn_round(texts, vocabulary, net)
+    return net
+
+
+def _learn_round(texts: DataFrame, vocabulary: Vocabulary, net: Window) -> None:
+    """Move ``net`` to the average of the networks that all tasks make of it."""
+    start = net.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Window(vocabulary.start), 0
+        net, seen = Window(vocabulary.start).load(start), 0
         for batch in (part for whole in batches for part in slices(whole, 0)):
             words, counts = hash_words(*text_buffers(batch.column(0)), ALNUM)
             ids = vocabulary.ids(words)
@@ -260,8 +291,7 @@ def learn_network(texts: DataFrame, vocabulary: Vocabulary) -> Window:
             for i in range(0, len(flat), _ROW):
                 yield pa.RecordBatch.from_arrays([pa.array([i // _ROW], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat[i : i + _ROW]], pa.list_(pa.float64()))], names=["part", "seen", "w"])
 
-    net = Window(vocabulary.start)
-    parts = texts.mapInArrow(run, "part int, seen long, w array<double>")
+    parts = bounded_batches(texts).mapInArrow(run, "part int, seen long, w array<double>")
     each = parts.select("part", "seen", F.posexplode("w").alias("at", "w"))
     mean = each.groupBy("part", "at").agg((F.sum("w") / F.sum("seen")).alias("w"))
     got = written(mean, "lm-weights").toPandas()
@@ -269,12 +299,11 @@ def learn_network(texts: DataFrame, vocabulary: Vocabulary) -> Window:
         flat = net.flat()
         flat[got["part"].to_numpy() * _ROW + got["at"].to_numpy()] = got["w"].to_numpy()
         net.load(flat)
-    return net
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str = "text", out: str = "__lm") -> DataFrame:
-    """``docs`` with a last column ``out``: struct of n_tokens, log_prob and the words whose log-count is still to be added."""
-    at = docs.columns.index(text_col)
+def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str = "text") -> DataFrame:
+    """``docs`` with a last column ``__lm`` (or a free name like it): struct of n_tokens, log_prob and the rare words, whose share is still to be added, with their windows."""
+    at, out = docs.columns.index(text_col), free_name(docs, "__lm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, at)):
@@ -286,23 +315,34 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str =
             doc = np.repeat(np.arange(len(counts)), counts)
             total = np.bincount(doc, np.concatenate(logs) + share if logs else None, len(counts))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[far], minlength=len(counts)))])
-            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[far].view(np.int64)))
+            rare = pa.StructArray.from_arrays([pa.array(words[far].view(np.int64)), pa.array(windows_of(words, counts, np.flatnonzero(far)).view(np.int64))], ["h", "g"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
             value = pa.StructArray.from_arrays([pa.array(counts), pa.array(total.astype(np.float64)), rest], ["n_tokens", "log_prob", "rest"])
             yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<n_tokens:bigint,log_prob:double,rest:array<bigint>>")).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<n_tokens:bigint,log_prob:double,rest:array<struct<h:bigint,g:bigint>>>")).schema)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from all documents and score them: id, n_tokens, log_prob (sum), mean_log_prob (null without words)."""
     texts = docs.select(F.col(text_col).alias("text"))
     vocabulary, others = learn_vocabulary(texts)
-    net = learn_network(texts, vocabulary)
-    lm = score(docs.select(F.col(id_col), F.col(text_col).alias("text")), vocabulary, net)
-    scored = written(lm.select(id_col, "__lm.*").withColumn("__at", F.monotonically_increasing_id()), "lm-scored")
-    each = scored.select("__at", F.explode("rest").alias("h"))
-    added = each.join(others, "h").groupBy("__at").agg(F.sum(F.log("n")).alias("__added"))
+    return score_documents(docs, vocabulary, others, learn_network(texts, vocabulary), id_col, text_col)
+
+
+def score_documents(docs: DataFrame, vocabulary: Vocabulary, others: DataFrame, net: Window, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score_corpus`` with what was learned, possibly from other documents; the memory is of the windows in ``docs``."""
+    lm = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, net)
+    scored = written(lm.select("id", "__lm.*").withColumn("__at", F.monotonically_increasing_id()), "lm-scored")
+    each = scored.select("__at", F.inline("rest")).repartition("g")
+    # one exchange by window serves both counts and the join
+    here = each.groupBy("g", "h").agg(F.count("*").alias("c"))
+    window = here.groupBy("g").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
+    known = each.join(here.join(window, "g"), ["g", "h"]).join(others, "h", "left")
+    rare = F.element_at(F.array(*[F.lit(int(x)) for x in vocabulary.rare]), (F.pmod("h", F.lit(HASHED)) + 1).cast("int"))
+    share = ((F.col("c") - 1) * rare + F.col("kinds") * F.coalesce("n", F.lit(1))) / F.col("all")
+    added = known.groupBy("__at").agg(F.sum(F.log(share)).alias("__added"))
     log_prob = F.col("log_prob") + F.coalesce("__added", F.lit(0.0))
     return scored.drop("rest").join(added, "__at", "left").select(
-        id_col, "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob")
+        F.col("id").alias(id_col), "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob")
     )

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,27 +153,91 @@ def test_toxicity_sample_passes_over_a_long_text(spark, monkeypatch):
     assert sorted(labels) == [0, 1]
 
 
-@pytest.mark.parametrize("listed", [pseudo_likelihood.LISTED, 700, 0])
-def test_every_word_has_its_own_probability(spark, monkeypatch, listed):
-    """Beyond the named words, in one bucket: a common, a less common and a rare word; the counts listed, half listed, joined."""
+@pytest.mark.parametrize("listed", [pseudo_likelihood.LISTED, 300, 0])
+def test_pseudo_likelihood_brute_force(spark, monkeypatch, listed):
+    """Every probability from plain counts and an explicit softmax; words beyond the list, repeated texts, shared windows, short texts."""
     monkeypatch.setattr(pseudo_likelihood, "LISTED", listed)
-    words = [f"w{i}" for i in range(3000)]
-    raw = [w.encode() for w in words]
-    h, _ = hash_words(np.frombuffer(b" ".join(raw), np.uint8), np.array([0, sum(map(len, raw)) + len(raw) - 1]), ALNUM)
-    bucket = (h % np.uint64(pseudo_likelihood.HASHED)).astype(int)
-    times = {w: 60 for w in words[:448]} | {w: 20 - 19 * i // 2552 for i, w in enumerate(words[448:])}
-    common, rare = next((a, b) for i, a in enumerate(words[448:600], 448) for j, b in enumerate(words[2900:], 2900) if bucket[i] == bucket[j])
-    every = [w for w, n in times.items() for _ in range(n)]
-    random.Random(4).shuffle(every)
-    docs = [(i, " ".join(every[i * 50 : i * 50 + 50]), "en", "s", 1) for i in range(len(every) // 50 + 1)]
-    docs += [(-1, common, "en", "s", 1), (-2, rare, "en", "s", 1), (-2, rare, "en", "s", 1), (None, common, "en", "s", 1)]
-    times[common] += 2
-    times[rare] += 2
-    got = {}
-    for r in pseudo_likelihood.score_corpus(spark.createDataFrame(docs, SCHEMA)).collect():
-        got.setdefault(r["doc_id"], []).append(r["log_prob"])
-    assert len(got[-2]) == 2 and got[-1] == pytest.approx(got[None])
-    assert got[-1][0] - got[-2][0] == pytest.approx(np.log(times[common] / times[rare]), abs=1e-5)
+    nets, learn = [], pseudo_likelihood.learn_network
+    monkeypatch.setattr(pseudo_likelihood, "learn_network", lambda *a: nets.append(learn(*a)) or nets[0])
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(1500)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (i + 3) for i in range(1500)], k=rng.randint(1, 60))) for _ in range(150)]
+    texts += texts[:20] + [texts[3]] * 3 + [texts[5] + " " + texts[7], "w1490", "w1490", "w1491", "Unique! é", "", None]
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in pseudo_likelihood.score_corpus(docs).collect()}
+
+    split = [words_of(t or "", True) for t in texts]
+    count = Counter(w for d in split for w in d)
+    one = lambda w: int(hash_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), ALNUM)[0][0])
+    h = {w: one(w) for w in count}
+    signed = lambda w: h[w] - (1 << 64) * (h[w] >> 63)
+    ranked = sorted(count, key=lambda w: (-count[w], signed(w)))
+    named, bucket = {w: i for i, w in enumerate(ranked[: pseudo_likelihood.NAMED])}, {w: h[w] % pseudo_likelihood.HASHED for w in count}
+    sym = lambda w: named.get(w, pseudo_likelihood.NAMED + bucket[w])
+    tokens = Counter()
+    for w in count:
+        if w not in named:
+            tokens[bucket[w]] += count[w]
+    # the list goes down to a count, in steps, as far as it has room
+    steps, least, held = {}, None, 0
+    for w in count:
+        if count[w] > 1:
+            steps.setdefault(math.floor(math.log2(count[w]) * 8), []).append(count[w])
+    for k in sorted(steps, reverse=True):
+        held += len(steps[k])
+        if held > listed + len(named):
+            break
+        least = min(steps[k])
+    far = {w for w in count if w not in named and (least is None or count[w] < least)}
+    assert far and (listed == 0) == (least is None or all(w in named for w in count if count[w] >= least))
+    rare = Counter()
+    for w in far:
+        rare[bucket[w]] += count[w]
+    window = lambda d, i: (bucket[d[i]], *[d[j] if 0 <= j < len(d) else None for j in (i - 2, i - 1, i + 1, i + 2)])
+    seen = Counter((window(d, i), w) for d in split for i, w in enumerate(d) if w in far)
+    every, kinds = Counter(), Counter()
+    for (g, _), n in seen.items():
+        every[g] += n
+        kinds[g] += 1
+    p = {k: v.astype(np.float64) for k, v in nets[0].p.items()}
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    used = 0
+    for i, d in enumerate(split):
+        want = 0.0
+        for k, w in enumerate(d):
+            around = [sym(d[j]) if 0 <= j < len(d) else pseudo_likelihood.SIZE for j in (k - 2, k - 1, k + 1, k + 2)]
+            hidden = np.tanh(sum(p["e"][j][a] for j, a in enumerate(around)))
+            c, m = divmod(sym(w), pseudo_likelihood.CLASS)
+            want += np.log(soft(hidden @ p["wc"] + p["bc"])[c]) + np.log(soft(hidden @ p["wm"][c] + p["bm"][c])[m])
+            if w in far:
+                g = window(d, k)
+                used += every[g] > 1
+                want += np.log(((seen[g, w] - 1) * rare[bucket[w]] + kinds[g] * count[w]) / every[g] / (tokens[bucket[w]] + 1))
+            elif w not in named:
+                want += np.log(count[w] / (tokens[bucket[w]] + 1))
+        assert got[i]["n_tokens"] == len(d) and got[i]["log_prob"] == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert used > 20 or listed > 1000
+
+
+def test_pseudo_likelihood_beats_unigrams_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    learns, asks = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
+    asks = asks.join(learns.select("text").distinct(), "text", "left_anti").select("doc_id", "text")
+    vocabulary, others = pseudo_likelihood.learn_vocabulary(learns.select("text"))
+    got = pseudo_likelihood.score_documents(asks, vocabulary, others, pseudo_likelihood.learn_network(learns.select("text"), vocabulary)).toPandas()
+    count = Counter(w for r in learns.collect() for w in words_of(r["text"] or "", True))
+    total = sum(count.values())
+    unigram = sum(math.log(max(1, count[w]) / (total + 1)) for r in asks.collect() for w in words_of(r["text"] or "", True))
+    assert got["log_prob"].sum() / got["n_tokens"].sum() > unigram / got["n_tokens"].sum() + 0.3
+
+
+def test_repeated_documents_are_scored_apart(spark):
+    rng = random.Random(9)
+    made = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) if rng.random() < 0.3 else rng.choice(["the", "of", "and", "to"]) for _ in range(80))
+    once, twice = [made() for _ in range(120)], [made() for _ in range(15)]
+    rows = [(i, t, None, None, 1) for i, t in enumerate(once + twice + twice)]
+    got = {r["doc_id"]: r["mean_log_prob"] for r in pseudo_likelihood.score_corpus(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert min(got[i] for i in range(120, 150)) > max(got[i] for i in range(120))
 
 
 def test_shares_of_a_bucket_sum_to_one():
