@@ -9,18 +9,19 @@ documents, and ``HASHED`` buckets for the rest; words are runs of letters, digit
 non-ASCII characters, lower-cased A-Z. A word of a bucket has the probability of the
 bucket times its share of the bucket's tokens, so that every word of the corpus has its
 own: of n tokens and one for unseen words, count / (n + 1), an unseen word as one seen
-once. Tasks hold the shares of up to ``LISTED`` frequent words. Those of all others, the
-rare words, are computed in the cluster, from the count of the word and from a memory of
-all windows of the corpus that stand around rare words, exact words on both sides. With c
-occurrences of the word in its window and C of T rare words of its bucket there, the
-share of the bucket's rare tokens F is ((c - 1) F + T count) / C: one occurrence, the word's
-own, is taken off each, so that a text which occurs once gets nothing from itself, and what
-is taken off goes by the counts, so that shares still sum to one. The softmax is factored into classes of ``CLASS`` words
-of similar frequency. Training goes in ``ROUNDS``: every task trains the network in numpy,
-from where the last round ended, on all words of its documents; the weights are averaged
-by words seen in a distributed aggregate, so the driver only ever holds one network. The
-average of a round depends a little on how documents are dealt to tasks; later rounds
-start from one network and draw layouts together.
+once. Tasks hold the counts of up to ``LISTED`` frequent words; those of all others are
+joined from the count table. Words that are not among the about ``KNOWN`` most frequent are
+rare, and all windows of the corpus around rare words, exact words on both sides, are a
+memory, counted in the cluster. With c occurrences of the word in its window and C of T
+rare words of its bucket there, F being the bucket's rare tokens, count becomes ((c - 1) F
++ T count) / C: one occurrence, the word's own, is taken off each, so that a text which
+occurs once gets nothing from itself, and what is taken off goes by the counts, so that
+shares still sum to one. The softmax is factored into classes of ``CLASS`` words
+of similar frequency. Training goes in ``ROUNDS``, each over a part of the documents by a
+hash of their text: every task trains the network in numpy, from where the last round ended,
+on all words of the part; the weights are averaged by words seen in a distributed aggregate,
+so the driver only ever holds one network. The average of a round depends a little on how
+documents are dealt to tasks; every round starts all tasks from one network again.
 
 Null, empty and word-less texts have no words and a log-probability of 0. Repeated rows are
 learned from and scored as often as they occur. No column but id and text is read.
@@ -40,7 +41,7 @@ from tesserlog.llm.textops import ALNUM, hash_words, mix, slices, text_buffers
 
 NAMED, HASHED, CLASS, SIDE, UNITS = 448, 64, 16, 2, 16
 SIZE = NAMED + HASHED
-LISTED = 16384
+KNOWN, LISTED = 32768, 131072
 _PAD = SIZE  # stands outside the text
 _BATCH, _RATE, ROUNDS = 16384, 0.1, 2
 
@@ -74,11 +75,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """``buckets``: the tokens of each bucket; ``listed``, ``times``: hashes and counts of frequent words of the buckets."""
+    """``buckets``: the tokens of each bucket; ``listed``, ``times``: hashes and counts of frequent words of the buckets, of which those with ``known`` or more are not rare."""
 
-    def __init__(self, named: list[int], counts: list[int], total: int, buckets: np.ndarray, listed: np.ndarray, times: np.ndarray):
-        #: Tokens of rare words in each bucket.
-        self.rare = buckets - np.bincount((listed.view(np.uint64) % np.uint64(HASHED)).astype(np.int64), times, HASHED).astype(np.int64)
+    def __init__(self, named: list[int], counts: list[int], total: int, buckets: np.ndarray, listed: np.ndarray, times: np.ndarray, known: float = np.inf):
         order = np.argsort(np.array(named, np.int64).view(np.uint64))
         self.words, self.rank = np.array(named, np.int64).view(np.uint64)[order], order
         start = np.full(SIZE, 1.0)
@@ -88,6 +87,9 @@ class Vocabulary:
         self.bucket = np.log(buckets + 1.0)
         order = np.argsort(listed.view(np.uint64))
         self.listed, self.times = listed.view(np.uint64)[order], np.log(times[order].astype(np.float64))
+        self.common = self.listed[times[order] >= known]
+        #: Tokens of rare words in each bucket.
+        self.rare = buckets - np.bincount((self.common % np.uint64(HASHED)).astype(np.int64), times[order][times[order] >= known], HASHED).astype(np.int64)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = NAMED + (hashes % np.uint64(HASHED)).astype(np.int64)
@@ -109,6 +111,15 @@ class Vocabulary:
         return out, far
 
 
+    def rare_at(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The places of rare words."""
+        where = np.flatnonzero(ids >= NAMED)
+        if not len(self.common):
+            return where
+        at = np.minimum(np.searchsorted(self.common, hashes[where]), len(self.common) - 1)
+        return where[self.common[at] != hashes[where]]
+
+
 class Window:
     """The network: one embedding table for each place around the word, a hidden layer, a class and a member softmax."""
 
@@ -225,7 +236,7 @@ def surroundings(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def learn_vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary, and (h, n) of the words that occur again and are not in it."""
+    """The vocabulary, and (h, n) of the words that occur again."""
     counts = written(count_words(texts), "lm-counts")
     top = counts.orderBy(F.desc("n"), "h").limit(NAMED).collect()
     buckets = np.zeros(HASHED, np.int64)
@@ -234,19 +245,20 @@ def learn_vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     total = int(buckets.sum())
     for r in top:
         buckets[r["h"] % HASHED] -= r["n"]
-    # counts from ``least`` on belong to at most LISTED words besides the named ones
+    # counts from ``least`` on belong to at most LISTED words besides the named ones, those from ``known`` on to KNOWN
     step = F.floor(F.log2("n") * 8)
-    least, held = None, 0
+    least, known, held = None, np.inf, 0
     for r in counts.where("n > 1").groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
         held += r["words"]
         if held > LISTED + len(top):
             break
         least = r["n"]
+        known = least if held <= KNOWN + len(top) else known
     often = F.lit(False) if least is None else F.col("n") >= least
     listed = counts.where(often).toPandas()
     listed = listed[~listed["h"].isin([r["h"] for r in top])]
-    vocabulary = Vocabulary([r["h"] for r in top], [r["n"] for r in top], total, buckets, listed["h"].to_numpy(np.int64), listed["n"].to_numpy(np.int64))
-    return vocabulary, counts.where(~often & (F.col("n") > 1))
+    vocabulary = Vocabulary([r["h"] for r in top], [r["n"] for r in top], total, buckets, listed["h"].to_numpy(np.int64), listed["n"].to_numpy(np.int64), known)
+    return vocabulary, counts.where("n > 1")
 
 
 def windows_of(words: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -266,10 +278,10 @@ _ROW = 4096
 
 
 def learn_network(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Window:
-    """Train in every task on all its words, and average; so many times."""
+    """Train in every task on all its words, and average; every text is in one of the rounds."""
     net = Window(vocabulary.start)
-    for _ in range(rounds):
-        _learn_round(texts, vocabulary, net)
+    for k in range(rounds):
+        _learn_round(texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k), vocabulary, net)
     return net
 
 
@@ -302,7 +314,7 @@ def _learn_round(texts: DataFrame, vocabulary: Vocabulary, net: Window) -> None:
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column ``__lm`` (or a free name like it): struct of n_tokens, log_prob and the rare words, whose share is still to be added, with their windows."""
+    """``docs`` with a last column ``__lm`` (or a free name like it): struct of n_tokens, log_prob, the words whose log-count is still to be added, and the rare words with their windows."""
     at, out = docs.columns.index(text_col), free_name(docs, "__lm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,12 +327,15 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Window, text_col: str =
             doc = np.repeat(np.arange(len(counts)), counts)
             total = np.bincount(doc, np.concatenate(logs) + share if logs else None, len(counts))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[far], minlength=len(counts)))])
-            rare = pa.StructArray.from_arrays([pa.array(words[far].view(np.int64)), pa.array(windows_of(words, counts, np.flatnonzero(far)).view(np.int64))], ["h", "g"])
-            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
-            value = pa.StructArray.from_arrays([pa.array(counts), pa.array(total.astype(np.float64)), rest], ["n_tokens", "log_prob", "rest"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[far].view(np.int64)))
+            places = vocabulary.rare_at(words, ids)
+            rare = pa.StructArray.from_arrays([pa.array(words[places].view(np.int64)), pa.array(windows_of(words, counts, places).view(np.int64))], ["h", "g"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[places], minlength=len(counts)))])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)
+            value = pa.StructArray.from_arrays([pa.array(counts), pa.array(total.astype(np.float64)), rest, rare], ["n_tokens", "log_prob", "rest", "rare"])
             yield pa.RecordBatch.from_arrays([*batch.columns, value], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<n_tokens:bigint,log_prob:double,rest:array<struct<h:bigint,g:bigint>>>")).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(None).cast("struct<n_tokens:bigint,log_prob:double,rest:array<bigint>,rare:array<struct<h:bigint,g:bigint>>>")).schema)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,15 +349,20 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, others: DataFrame,
     """``score_corpus`` with what was learned, possibly from other documents; the memory is of the windows in ``docs``."""
     lm = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, net)
     scored = written(lm.select("id", "__lm.*").withColumn("__at", F.monotonically_increasing_id()), "lm-scored")
-    each = scored.select("__at", F.inline("rest")).repartition("g")
-    # one exchange by window serves both counts and the join
-    here = each.groupBy("g", "h").agg(F.count("*").alias("c"))
-    window = here.groupBy("g").agg(F.sum("c").alias("all"), F.count("*").alias("kinds"))
-    known = each.join(here.join(window, "g"), ["g", "h"]).join(others, "h", "left")
+    counted = scored.select("__at", F.explode("rest").alias("h")).join(others, "h").select("__at", F.log("n").alias("more"))
+    # a window that stands around one rare word changes nothing: only the others go on
+    each = scored.select("__at", F.inline("rare"))
+    again = each.groupBy("g").agg(F.count("*").alias("all")).where("all > 1").select("g")
+    each = written(each.join(again, "g", "left_semi"), "lm-windows")
+    here = written(each.groupBy("g", "h").agg(F.count("*").alias("c")), "lm-memory")
+    window = written(here.groupBy("g").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")), "lm-memory")
     rare = F.element_at(F.array(*[F.lit(int(x)) for x in vocabulary.rare]), (F.pmod("h", F.lit(HASHED)) + 1).cast("int"))
-    share = ((F.col("c") - 1) * rare + F.col("kinds") * F.coalesce("n", F.lit(1))) / F.col("all")
-    added = known.groupBy("__at").agg(F.sum(F.log(share)).alias("__added"))
+    n = F.coalesce("n", F.lit(1))
+    share = ((F.col("c") - 1) * rare + F.col("kinds") * n) / (F.col("all") * n)
+    memory = written(here.join(window, "g").join(others, "h", "left").select("g", "h", F.log(share).alias("more")), "lm-memory")
+    remembered = each.join(memory, ["g", "h"]).select("__at", "more")
+    added = counted.union(remembered).groupBy("__at").agg(F.sum("more").alias("__added"))
     log_prob = F.col("log_prob") + F.coalesce("__added", F.lit(0.0))
-    return scored.drop("rest").join(added, "__at", "left").select(
+    return scored.drop("rest", "rare").join(added, "__at", "left").select(
         F.col("id").alias(id_col), "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("mean_log_prob")
     )

@@ -153,9 +153,10 @@ def test_toxicity_sample_passes_over_a_long_text(spark, monkeypatch):
     assert sorted(labels) == [0, 1]
 
 
-@pytest.mark.parametrize("listed", [pseudo_likelihood.LISTED, 300, 0])
-def test_pseudo_likelihood_brute_force(spark, monkeypatch, listed):
+@pytest.mark.parametrize("known,listed", [(pseudo_likelihood.KNOWN, pseudo_likelihood.LISTED), (200, 600), (300, 300), (0, 500), (0, 0)])
+def test_pseudo_likelihood_brute_force(spark, monkeypatch, known, listed):
     """Every probability from plain counts and an explicit softmax; words beyond the list, repeated texts, shared windows, short texts."""
+    monkeypatch.setattr(pseudo_likelihood, "KNOWN", known)
     monkeypatch.setattr(pseudo_likelihood, "LISTED", listed)
     nets, learn = [], pseudo_likelihood.learn_network
     monkeypatch.setattr(pseudo_likelihood, "learn_network", lambda *a: nets.append(learn(*a)) or nets[0])
@@ -185,11 +186,10 @@ def test_pseudo_likelihood_brute_force(spark, monkeypatch, listed):
             steps.setdefault(math.floor(math.log2(count[w]) * 8), []).append(count[w])
     for k in sorted(steps, reverse=True):
         held += len(steps[k])
-        if held > listed + len(named):
+        if held > min(known, listed) + len(named):
             break
         least = min(steps[k])
     far = {w for w in count if w not in named and (least is None or count[w] < least)}
-    assert far and (listed == 0) == (least is None or all(w in named for w in count if count[w] >= least))
     rare = Counter()
     for w in far:
         rare[bucket[w]] += count[w]
@@ -216,7 +216,7 @@ def test_pseudo_likelihood_brute_force(spark, monkeypatch, listed):
             elif w not in named:
                 want += np.log(count[w] / (tokens[bucket[w]] + 1))
         assert got[i]["n_tokens"] == len(d) and got[i]["log_prob"] == pytest.approx(want, rel=1e-4, abs=1e-3)
-    assert used > 20 or listed > 1000
+    assert used > 20 or known
 
 
 def test_pseudo_likelihood_beats_unigrams_on_held_out_documents(spark):
@@ -245,10 +245,11 @@ def test_shares_of_a_bucket_sum_to_one():
     hashes, times = np.arange(7, 7 + 5 * n, n, dtype=np.int64), np.array([9, 5, 3, 2, 1])
     buckets = np.zeros(n, np.int64)
     buckets[7] = 20
-    v = pseudo_likelihood.Vocabulary([], [], 20, buckets, hashes[:4], times[:4])
+    v = pseudo_likelihood.Vocabulary([], [], 20, buckets, hashes[:4], times[:4], 3)
     seen = hashes.view(np.uint64)
     share, far = v.shares(np.append(seen, seen[-1] + np.uint64(n)), np.full(6, pseudo_likelihood.NAMED + 7, np.int16))
     assert np.exp(share).sum() == pytest.approx(1) and far.tolist() == [False] * 4 + [True] * 2
+    assert v.rare[7] == 3 and v.rare_at(seen, np.full(5, pseudo_likelihood.NAMED + 7)).tolist() == [3, 4]
 
 
 def test_pseudo_likelihood_is_a_distribution_and_climbs():
