@@ -153,13 +153,14 @@ class Shard:
         rank = np.lexsort((self.at, ids[self.doc]))
         order = np.empty(len(rank), np.int64)
         order[rank] = np.arange(len(rank))
-        for i in np.flatnonzero(best >= least).tolist():
+        for i in np.flatnonzero(best >= max(1, min(least, t.words))).tolist():
             lo, hi = self._range(i, int(best[i]))
             some = np.arange(lo, hi)
             if best[i] >= t.words:  # more words than the keys hold may stand anywhere among equal keys
                 far = np.array([common(i, j) for j in range(lo, hi)])
                 best[i], some = far.max(), some[far == far.max()]
-            where[i] = some[np.argmin(order[some])]
+            if best[i] >= least:
+                where[i] = some[np.argmin(order[some])]
         return best, where
 
     def _range(self, i: int, words: int) -> tuple[int, int]:
