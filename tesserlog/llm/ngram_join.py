@@ -16,7 +16,8 @@ The incidence matrix A (documents x hashed word n-grams) is cut twice.
    columns still to come cannot reach its bound is dropped, and the product ends
    early when no pair is open. Inside a diagonal block a slice is held dense, as its
    rows share most of their columns; between blocks nothing is formed. Diagonal blocks
-   larger than a task are cut into row blocks whose pairs are separate tasks.
+   larger than a task are cut into bands of size, of which only neighbouring ones can
+   reach the bound, and these into row blocks whose pairs are separate tasks.
 
 Equal sets are one row (their digest), so copies meet only in aggregates. Fingerprints
 of which a single one is more than 1 / ``SHARE`` of all (there are at most ``SHARE``) are
@@ -30,12 +31,13 @@ result with a null component. An id that occurs twice counts as two rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserlog.llm.shared import bounded_batches, connected_components, free_name, id_sieve, sift, written
@@ -339,6 +341,42 @@ def _sets(size: int):
     return run
 
 
+def _dealt(members: DataFrame, percent: int) -> DataFrame:
+    """(id, node, comp, task, side, same): the tasks that each row of (node, comp, rep, n) takes part in.
+
+    A group that fits a task is one. A larger one is cut by size: rows link within a band of sizes or with the next band,
+    as a band is wider than two linked rows can differ. Each band is cut into row blocks by hash; every two blocks of one band
+    or of neighbouring bands are a task.
+    """
+    sized = (F.count("*").alias("n_rows"), F.sum("n").alias("n_cells"))
+    blocks = F.greatest(F.ceil(F.col("n_rows") / ROWS_PER_BLOCK), F.ceil(F.col("n_cells") / CELLS_PER_BLOCK)).cast("int")
+    whole = members.groupBy("comp").agg(*sized).select("comp", blocks.alias("nb"))
+    packs = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // CELLS_PER_BLOCK))
+    banded = written(members.join(whole, "comp").withColumn("band", F.floor(F.log("n") / math.log(1.001 * 100 / percent))), "ngram-banded")
+    small = banded.where("nb = 1").select(
+        F.col("rep").alias("id"), "node", "comp", F.pmod(F.xxhash64("comp"), F.lit(packs)).alias("task"), F.lit(0).alias("side"), F.lit(1).alias("same")
+    )
+    unit = written(banded.where("nb > 1").groupBy("comp", "band").agg(*sized).select("comp", "band", blocks.alias("own")), "ngram-units")
+    beside = lambda step, name: unit.select("comp", (F.col("band") + step).alias("band"), F.col("own").alias(name))
+    counts = written(unit.join(beside(-1, "above"), ["comp", "band"], "left").join(beside(1, "below"), ["comp", "band"], "left").na.fill(0), "ngram-units")
+    large = banded.where("nb > 1").join(counts, ["comp", "band"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
+
+    def tasks(n: str, of) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), of)
+        return F.when(F.col(n) > 0, each).otherwise(F.slice(each, 1, 0))
+
+    def task(low: Column, high: Column, a: Column, b: Column, side: Column, same: Column) -> Column:
+        return F.struct(F.xxhash64("comp", low, high, a, b).alias("task"), side.cast("int").alias("side"), same.cast("int").alias("same"))
+
+    band, b, no = F.col("band"), F.col("b"), F.lit(False)
+    every = F.concat(
+        tasks("own", lambda o: task(band, band, F.least(b, o), F.greatest(b, o), b > o, b == o)),
+        tasks("above", lambda o: task(band, band + 1, b, o, no, no)),
+        tasks("below", lambda o: task(band - 1, band, o, b, F.lit(True), no)),
+    )
+    return small.union(large.select(F.col("rep").alias("id"), "node", "comp", F.inline(every)))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, digest, n, t) of every row and (digest, comp, component) of every distinct set: its group and the group's least id."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -350,22 +388,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     classes = rows.where("digest is not null and id is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     members = near.union(near.select(F.col("comp").alias("node"), "comp").distinct()).join(classes, "node")
     members = written(members, "ngram-members")
-    blocks = members.groupBy("comp").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_cells")).select(
-        "comp", "n_cells", F.greatest(F.ceil(F.col("n_rows") / ROWS_PER_BLOCK), F.ceil(F.col("n_cells") / CELLS_PER_BLOCK)).cast("int").alias("nb")
-    )
-    packs = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // CELLS_PER_BLOCK))
-    # a large group is cut into nb row blocks; block b takes part in the tasks {b, 0} ... {b, nb - 1}
-    dealt = (
-        members.join(blocks, "comp")
-        .withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(
-            F.col("rep").alias("id"), "node", "comp",
-            F.when(F.col("nb") == 1, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.xxhash64("comp", F.least("b", "o"), F.greatest("b", "o"))).alias("task"),
-            F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"),
-            F.when(F.col("b") == F.col("o"), 1).otherwise(0).alias("same"),
-        )
-    )
+    dealt = _dealt(members, percent)
     near_texts = sift(texts, id_sieve(members.select(F.col("rep").alias("id"))))
     sets = near_texts.join(dealt, "id").select("node", "comp", "task", "side", "same", "text").mapInArrow(
         _sets(size), "node long, comp long, task long, side int, same int, grams binary"

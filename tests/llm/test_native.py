@@ -246,3 +246,27 @@ def test_quotations_of_parts(spark):
     assert {k: r["reply_to"] for k, r in got.items() if r["n_quoted"]} == {(1, 2): 0, (1, 3): 1, (1, 4): None, (1, 6): 5, (1, 7): 1, (1, 8): None, (2, 1): None}
     assert all(r["n_quoted"] <= 1 and r["n_linked"] == (r["reply_to"] is not None) for r in got.values())
     assert got[1, 2]["root_turn"] == 0 and got[1, 7]["root_turn"] == 1
+
+
+@pytest.mark.parametrize("percent", [80, 90, 50])
+def test_ngram_bands_lose_no_link(spark, monkeypatch, percent):
+    """One group of many sizes in many small blocks: links within and between bands of size, at the bound itself too."""
+    monkeypatch.setattr(ngram_join, "ROWS_PER_BLOCK", 5)
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(240)]
+    sizes = [rng.randint(3, 240) for _ in range(150)] + [100, 80, 64, 90, 81, 50, 25, 200, 160, 180]
+    rows = [(i, " ".join(words[:n] + ([f"x{i}"] if rng.random() < 0.3 else []))) for i, n in enumerate(sizes)]
+    members = spark.createDataFrame([(i, 1, i, len(t.split())) for i, t in rows], "node long, comp long, rep long, n long")
+    dealt = {}
+    for r in ngram_join._dealt(members, percent).collect():
+        dealt.setdefault(r["task"], []).append(r)
+    met = {frozenset((a["node"], b["node"])) for g in dealt.values() for a in g for b in g if a["node"] < b["node"] and (a["same"] or a["side"] != b["side"])}
+    sets = {i: set(t.split()) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    assert links and all(frozenset(p) in met for p in links) and len(dealt) > 100
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), size=1, percent=percent).collect()}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert got == comp
