@@ -12,10 +12,33 @@ ENVELOPE = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("
 FIELDS = ("log_date", "log_time", "pid", "level", "component", "content")
 
 
+def _split_line(raw: Column) -> Column:
+    """Array of the one line's six fields as an array, empty where the line does not match. One match of the expression.
+
+    Matching lines are rewritten with one blank between fields; the first five hold none, and the colon behind the
+    component goes, so that only lines which do not match stay as they are.
+    """
+    rewritten = F.filter(F.array(F.regexp_replace(raw, LINE, "$1 $2 $3 $4 $5 $6")), lambda x: x != raw)
+    return F.transform(rewritten, lambda x: F.split(x, " ", len(FIELDS)))
+
+
+def _named(parts: Column) -> Column:
+    return F.struct(*[parts[i].alias(n) for i, n in enumerate(FIELDS)])
+
+
 def parse_line(raw: Column) -> Column:
     """Struct of the six fields; null where the line does not match."""
-    parts = F.struct(*[F.regexp_extract(raw, LINE, i + 1).alias(n) for i, n in enumerate(FIELDS)])
-    return F.when(raw.rlike(LINE), parts)
+    return F.get(F.transform(_split_line(raw), _named), F.lit(0))
+
+
+def parsed_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Rows of ``df`` whose line matches, with the six fields: an explosion of at most one, through which no filter sends the match down again."""
+    return df.select("*", F.explode(_split_line(F.col(raw))).alias("__p")).select(*df.columns, *[F.col("__p")[i].alias(n) for i, n in enumerate(FIELDS)])
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` behind the same barrier."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def block_id(content: Column) -> Column:
@@ -56,8 +79,8 @@ def open_envelopes(messages: DataFrame) -> DataFrame:
 
 def parse_logs(envelopes: DataFrame, event: Column, high_risk: tuple[str, ...]) -> DataFrame:
     """Parsed log records; lines that do not parse and lines without a block go. ``event`` reads column content."""
-    fields = envelopes.withColumn("__p", parse_line(F.col("raw"))).where("__p is not null").select(*envelopes.columns, "__p.*")
-    rows = fields.withColumn("block_id", block_id(F.col("content"))).where("block_id is not null").withColumn("event_id", event)
+    found = computed_once(parsed_lines(envelopes), "block_id", block_id(F.col("content"))).where("block_id is not null")
+    rows = computed_once(found, "event_id", event)
     return rows.select(
         "line_no", *FIELDS, "block_id", "event_id", F.col("event_id").isin(*high_risk).alias("is_high_risk"), "ingested_at",
         F.current_timestamp().alias("processed_at"), event_time(F.col("log_date"), F.col("log_time")).alias("event_ts"),

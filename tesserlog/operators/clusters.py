@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from tesserlog.functions.scores import clamp, label
 from tesserlog.operators.patterns import persisted
+from tesserlog.operators.quantiles import quantiles
+
+
+#: Rows of a partition that clusters are fitted on.
+ROWS = 250_000
 
 
 def feature_vectors(matrix: DataFrame, events: list[str]) -> DataFrame:
@@ -20,7 +25,9 @@ def feature_vectors(matrix: DataFrame, events: list[str]) -> DataFrame:
 
 def assign_clusters(vectors: DataFrame, k: int = 8, iterations: int = 20, seed: int = 42) -> tuple[DataFrame, list[list[float]], float]:
     """(block_id, features, cluster_id), centres, cost. Rows are first put into a fixed layout, on which the result depends."""
-    fixed = vectors.repartitionByRange(4, "block_id").sortWithinPartitions("block_id")
+    # so many partitions as the rows need, by a hash of the block: the same for the same table
+    parts = max(1, -(-vectors.count() // ROWS))
+    fixed = vectors.repartition(parts, "block_id").sortWithinPartitions("block_id")
     with persisted(fixed) as f:
         model = BisectingKMeans(k=k, maxIter=iterations, seed=seed, distanceMeasure="euclidean", predictionCol="cluster_id").fit(f)
     return model.transform(fixed), [[float(x) for x in c] for c in model.clusterCenters()], float(model.summary.trainingCost)
@@ -35,9 +42,10 @@ def own_distance(assigned: DataFrame, centres: list[list[float]]) -> DataFrame:
 
 def outlier_scores(distances: DataFrame) -> DataFrame:
     """Adds cluster_outlier_score: least distance 0, 95th percentile and more 1."""
-    ends = distances.agg(F.min("centroid_distance").alias("lo"), F.percentile("centroid_distance", F.lit(0.95)).alias("hi"))
-    score = F.when(F.col("hi") > F.col("lo"), clamp((F.col("centroid_distance") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(0.0)
-    return distances.join(F.broadcast(ends)).select(*distances.columns, score.alias("cluster_outlier_score"))
+    ends = quantiles(distances, "centroid_distance", [0.0, 0.95])
+    lo, hi = ends or (0.0, 0.0)
+    score = clamp((F.col("centroid_distance") - lo) / (hi - lo)) if hi > lo else F.lit(0.0)
+    return distances.withColumn("cluster_outlier_score", score)
 
 
 def cluster_summary(scores: DataFrame, labels: DataFrame) -> DataFrame:

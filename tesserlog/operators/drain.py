@@ -17,7 +17,7 @@ from tesserlog.functions.parse import mask_message
 WILD = "<*>"
 
 
-def _merge(pdf: pd.DataFrame, similarity: float, most: int) -> pd.DataFrame:
+def _merge(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
     found: list[list] = []
     for words, n in sorted(zip((m.split(" ") for m in pdf["masked"]), pdf["n"]), key=lambda x: (-x[1], x[0])):
         best, share = None, -1.0
@@ -25,7 +25,7 @@ def _merge(pdf: pd.DataFrame, similarity: float, most: int) -> pd.DataFrame:
             same = sum(a == b for a, b in zip(t[0], words)) / max(1, len(words))
             if same > share:
                 best, share = t, same
-        if best is not None and (share >= similarity or len(found) >= most):
+        if best is not None and share >= similarity:
             best[0] = [a if a == b else WILD for a, b in zip(best[0], words)]
             best[1] += int(n)
         else:
@@ -33,14 +33,14 @@ def _merge(pdf: pd.DataFrame, similarity: float, most: int) -> pd.DataFrame:
     return pd.DataFrame({"template": [" ".join(t[0]) for t in found], "size": [t[1] for t in found]})
 
 
-def learn_templates(messages: DataFrame, content: str = "content", similarity: float = 0.5, most: int = 1024) -> DataFrame:
+def learn_templates(messages: DataFrame, content: str = "content", similarity: float = 0.5) -> DataFrame:
     """template, size. Words with digits are wildcards before grouping."""
     masked = F.trim(F.regexp_replace(mask_message(F.col(content)), r"\s+", " "))
     masked = F.array_join(F.transform(F.split(masked, " "), lambda w: F.when(w.rlike(r"\d"), WILD).otherwise(w)), " ")
     distinct = messages.where(F.col(content).isNotNull()).select(masked.alias("masked")).groupBy("masked").agg(F.count("*").alias("n"))
     words = F.split("masked", " ")
     keyed = distinct.withColumns({"words": F.size(words), "head": F.when(words[0].contains("<"), WILD).otherwise(words[0])})
-    return keyed.groupBy("words", "head").applyInPandas(lambda p: _merge(p, similarity, most), "template string, size long").groupBy("template").agg(F.sum("size").alias("size"))
+    return keyed.groupBy("words", "head").applyInPandas(lambda p: _merge(p, similarity), "template string, size long").groupBy("template").agg(F.sum("size").alias("size"))
 
 
 def tokens_of(template: Column) -> Column:

@@ -55,8 +55,7 @@ class Forest:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         depth = np.zeros(len(x))
-        for nodes in self.trees:
-            f, cut, left, right, leaf = (np.array(c) for c in zip(*nodes))
+        for f, cut, left, right, leaf in self._flat():
             at = np.zeros(len(x), np.int64)
             while (f[at] >= 0).any():
                 inner = np.flatnonzero(f[at] >= 0)
@@ -65,8 +64,14 @@ class Forest:
             depth += leaf[at]
         return 2.0 ** (-depth / len(self.trees) / max(float(mean_path(self.samples)), 1e-9))
 
+    def _flat(self) -> list[tuple]:
+        """The trees' columns, made once in each process."""
+        if getattr(self, "_columns", None) is None:
+            self._columns = [tuple(np.array(c) for c in zip(*nodes)) for nodes in self.trees]
+        return self._columns
+
     def to_json(self) -> str:
-        return json.dumps(self.__dict__)
+        return json.dumps({k: v for k, v in self.__dict__.items() if k != "_columns"})
 
     @classmethod
     def from_json(cls, text: str) -> "Forest":
@@ -78,10 +83,12 @@ def fit_forest(features: DataFrame, columns: list[str], trees: int = 100, sample
     count = features.count()
     psi = max(1, min(samples, count))
     rows = features.select("block_id", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    # a row enters each tree with a chance that leaves a few spare ones; the least hashes of each tree stay
+    # a row enters each tree with a chance that leaves a few spare ones; the least hashes of each tree stay. Tree numbers are
+    # filtered in an array, so that a row is only repeated for the trees it enters
     rate = min(1.0, 2.0 * psi / max(count, 1))
-    picked = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "block_id").withColumn("h", F.xxhash64("block_id", "tree", F.lit(seed)))
-    picked = picked.where(F.col("h") < int(-(1 << 63) + rate * ((1 << 64) - 1)) if rate < 1 else F.lit(True))
+    most = int(-(1 << 63) + rate * ((1 << 64) - 1)) if rate < 1 else (1 << 63) - 1
+    entered = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("block_id", t, F.lit(seed)).alias("h")))
+    picked = rows.select("x", "block_id", F.inline(F.filter(entered, lambda e: e["h"] <= F.lit(most))))
     limit = int(np.ceil(np.log2(max(psi, 2))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

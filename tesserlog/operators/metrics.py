@@ -1,7 +1,8 @@
 """Evaluation against labels. Input rows: y (0/1), p (0/1) and s (score).
 
-Curves work on distinct scores: counts are aggregated first, so that windows see one
-row for each score. For scores without bound on their number, round them first.
+Curves work on distinct scores: counts are aggregated first, and running totals are
+computed in parts of the score range, so that no task sees all scores. Rows without a
+score are not on a curve.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserlog.functions.scores import label, ratio
+from tesserlog.operators.quantiles import with_totals_below
+from tesserlog.operators.traces import named_like
 
 
 def clean_labels(labels: DataFrame, block_col: str | None = None, label_col: str | None = None) -> DataFrame:
     """(block_id, label) with columns found by name and labels trimmed and upper-cased."""
-    from tesserlog.operators.traces import find_column
-
-    block = block_col or find_column(labels, "block")
-    lab = label_col or find_column(labels, "label", labels.columns[1] if len(labels.columns) > 1 else None)
+    block = block_col or named_like(labels, "blockid", "block")
+    lab = label_col or named_like(labels, "label")
     return labels.select(F.trim(block).alias("block_id"), label(F.col(lab)).alias("label"))
 
 
@@ -55,21 +56,22 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def _by_score(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return rows.where("s is not null").groupBy(F.col("s").cast("double").alias("s")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
 def auc_roc(rows: DataFrame) -> DataFrame:
     """Share of (anomaly, normal) pairs in the right order, ties half; 0 with one class only."""
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = _by_score(rows).select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("won"))
-    return each.agg(ratio(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc_roc"))
+    each = with_totals_below(_by_score(rows), "s", ["neg"])
+    won = F.col("pos") * (F.col("below_neg") + F.col("neg") / 2)
+    return each.agg(ratio(F.sum(won), F.sum("pos") * F.sum("neg")).alias("auc_roc"))
 
 
 def auc_pr(rows: DataFrame) -> DataFrame:
     """Average precision: the step sum over falling scores."""
-    w = Window.orderBy(F.desc("s"))
-    each = _by_score(rows).select("pos", (F.col("pos") * ratio(F.sum("pos").over(w), F.sum(F.col("pos") + F.col("neg")).over(w))).alias("area"))
-    return each.agg(ratio(F.sum("area"), F.sum("pos")).alias("auc_pr"))
+    falling = _by_score(rows).select((-F.col("s")).alias("s"), "pos", "neg")
+    each = with_totals_below(falling, "s", ["pos", "neg"])
+    tp, fp = F.col("below_pos") + F.col("pos"), F.col("below_neg") + F.col("neg")
+    return each.agg(ratio(F.sum(F.col("pos") * ratio(tp, tp + fp)), F.sum("pos")).alias("auc_pr"))
 
 
 def threshold_sweep(rows: DataFrame, points: int = 100) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserlog.operators.patterns import persisted
+from tesserlog.operators.quantiles import quantiles
+
 
 @dataclass
 class Threshold:
@@ -27,53 +32,72 @@ class Threshold:
         return cls(**json.loads(text))
 
 
-def fit_tail(x: np.ndarray) -> tuple[float, float]:
-    """(shape, scale) by maximum likelihood with location 0: one-dimensional profile in shape / scale, grid then golden section."""
-    top, mean = float(x.max()), float(x.mean())
-
-    def loss(theta: float) -> float:
-        if abs(theta) < 1e-12:
-            return np.log(mean) + 1
-        if 1 + theta * top <= 0:
-            return np.inf
-        shape = float(np.log1p(theta * x).mean())
-        return np.log(shape / theta) + shape + 1 if shape / theta > 0 else np.inf
-
-    grid = np.concatenate([-np.geomspace(1e-6, 0.999, 60)[::-1] / top, np.geomspace(1e-6, 1e3, 120) / mean])
-    best = int(np.argmin([loss(t) for t in grid]))
-    a, b = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
-    g = (5**0.5 - 1) / 2
-    for _ in range(80):
-        c, d = b - g * (b - a), a + g * (b - a)
-        a, b = (a, d) if loss(c) < loss(d) else (c, b)
-    theta = (a + b) / 2
-    shape = float(np.log1p(theta * x).mean())
-    return shape, shape / theta
-
-
-#: Rows of the tail that the fit reads; a larger tail gives as many evenly spaced quantiles, computed in the cluster.
-TAIL_POINTS = 100_000
+#: Candidates of a pass over the tail, and passes after which the interval is below the precision of a double.
+GRID, PASSES = 64, 7
+
+
+def tail_sums(tail: DataFrame, thetas: np.ndarray) -> np.ndarray:
+    """The mean of log(1 + theta x) for each theta, summed in the tasks; -inf where it is not defined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(thetas)), 0
+        for batch in batches:
+            for x in np.array_split(batch.column(0).to_numpy(zero_copy_only=False), batch.num_rows // 4096 + 1):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    total += np.log1p(np.outer(x, thetas)).sum(0)
+                n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(thetas)), pa.int32()), pa.array(total), pa.array([n] * len(thetas), pa.int64())], names=["i", "s", "n"])
+
+    rows = tail.select("x").mapInArrow(run, "i int, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).collect()
+    out = np.full(len(thetas), -np.inf)
+    for r in rows:
+        out[r["i"]] = r["m"]
+    return out
+
+
+def fit_tail(tail: DataFrame) -> tuple[float, float]:
+    """(shape, scale) by maximum likelihood with location 0 of column ``x``, over all rows at every size.
+
+    One-dimensional profile in theta = shape / scale; every pass takes the best of a grid and goes on between its neighbours.
+    """
+    ends = tail.agg(F.max("x").alias("top"), F.avg("x").alias("mean")).first()
+    top, mean = float(ends["top"]), float(ends["mean"])
+    thetas = np.concatenate([-np.geomspace(1e-6, 0.999, 60)[::-1] / top, np.geomspace(1e-6, 1e3, 120) / mean])
+    for _ in range(PASSES):
+        shape = tail_sums(tail, thetas)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            loss = np.where(shape / thetas > 0, np.log(shape / thetas) + shape + 1, np.inf)
+        loss[~np.isfinite(loss)] = np.inf
+        best = int(np.argmin(loss))
+        theta, found = float(thetas[best]), float(shape[best])
+        a, b = thetas[max(0, best - 1)], thetas[min(len(thetas) - 1, best + 1)]
+        thetas = np.linspace(a, b, GRID)
+        thetas = thetas[np.abs(thetas) > 1e-300]
+    return found, found / theta
+
+
+def tail_threshold(base: float, shape: float, scale: float, share: float, top: float) -> float:
+    """The score that a share of the tail's rows lie beyond under the fitted tail, from its start to its largest value; not finite where there is none."""
+    over = -scale * np.log(share) if abs(shape) < 1e-6 else scale / shape * (share**-shape - 1)
+    return float(base + min(max(over, 0.0), top)) if np.isfinite(over) else float("nan")
 
 
 def fit_threshold(scores: DataFrame, column: str = "if_score", q0: float = 0.90, risk: float = 0.01, fallback: float = 97.0, least_tail: int = 10) -> Threshold:
-    row = scores.agg(F.percentile(column, F.lit(q0)).alias("u"), F.percentile(column, F.lit(fallback / 100)).alias("f"), F.count(column).alias("n")).first()
-    if row["u"] is None:
+    """Peaks over the ``q0`` quantile with a generalised Pareto tail; the ``fallback`` percentile where fewer than ``least_tail`` rows lie beyond or the fit fails."""
+    found = quantiles(scores, column, [q0, fallback / 100])
+    if found is None:
         return Threshold(0.0, "empty", q0, risk)
-    tail = scores.where(F.col(column) > row["u"]).select((F.col(column) - row["u"]).alias("x"))
-    m = tail.count()
-    if m < least_tail:
-        return Threshold(float(row["f"]), f"percentile_{fallback}", q0, risk)
-    if m > TAIL_POINTS:
-        at = [(i + 0.5) / TAIL_POINTS for i in range(TAIL_POINTS)]
-        x = np.array(tail.agg(F.percentile_approx("x", at, 1_000_000)).first()[0], float)
-    else:
-        x = np.array([r["x"] for r in tail.orderBy("x").collect()], float)
-    shape, scale = fit_tail(x)
-    share = risk * row["n"] / m
-    over = -scale * np.log(share) if abs(shape) < 1e-6 else scale / shape * (share**-shape - 1)
-    if not np.isfinite(over):
-        return Threshold(float(row["f"]), f"percentile_{fallback}", q0, risk)
-    return Threshold(float(row["u"] + min(max(over, 0.0), float(x.max()))), "pot_gpd", q0, risk, shape, scale)
+    base, simple = found
+    tail = scores.where(F.col(column) > base).select((F.col(column).cast("double") - base).alias("x")).where("not isnan(x)")
+    plain = Threshold(float(simple), f"percentile_{fallback}", q0, risk)
+    counted = scores.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).agg(F.count("*").alias("n"), F.sum((F.col(column) > base).cast("long")).alias("m")).first()
+    if (counted["m"] or 0) < least_tail:
+        return plain
+    with persisted(tail) as kept:
+        shape, scale = fit_tail(kept)
+        top = float(kept.agg(F.max("x")).first()[0])
+    value = tail_threshold(base, shape, scale, risk * counted["n"] / counted["m"], top)
+    return Threshold(value, "pot_gpd", q0, risk, shape, scale) if np.isfinite(value) else plain
 
 
 def label_anomalies(scores: DataFrame, threshold: float, method: str = "pot_gpd", column: str = "if_score") -> DataFrame:

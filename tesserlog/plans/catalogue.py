@@ -1,4 +1,4 @@
-"""Registered queries of the log-mining engine over the driver's tables, and their SQL.
+"""Registered queries of the engine for machine logs over the driver's tables, and their SQL.
 
 Blocks are ``user x day`` over ``events``; log lines are made from its rows.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tesserlog.functions import catalog as cat
 from tesserlog.functions import parse, scores
-from tesserlog.operators import clusters, drain, features, iforest, metrics, patterns, threshold, traces
+from tesserlog.operators import clusters, drain, features, iforest, metrics, patterns, quantiles, threshold, traces
 from tesserlog.plans import batch, views
 from tesserlog.sources import store
 
@@ -144,7 +144,7 @@ def envelope_parse(spark, d):
 
 @query(f"with {PARSED} select * from parsed")
 def parse_log_line(spark, d):
-    return _lines(spark, d).withColumn("p", parse.parse_line(F.col("raw"))).where("p is not null").select("line_no", "p.*")
+    return parse.parsed_lines(_lines(spark, d)).select("line_no", *parse.FIELDS)
 
 
 @query(f"with {PARSED} select line_no, block_id from blocked")
@@ -209,21 +209,10 @@ def event_sets(spark, d):
     return _sets(spark, d).select("block_id", scores.items_key(F.col("events")).alias("items"))
 
 
-QUERIES["itemset_key"], ORACLE_SQL["itemset_key"] = QUERIES["event_sets"], ORACLE_SQL["event_sets"]
-
-
-@query(f"with {TR} select block_id, array_to_string(events[1:3], '→') as rendered from tr")
+@query(f"with {TR} select block_id, array_to_string(events[1:20], '→') as rendered from tr")
 def sequences_truncated(spark, d):
-    return traces.sequences(_traces(spark, d), 3).select("block_id", scores.render_sequence(F.col("sequence")).alias("rendered"))
-
-
-@query()
-def sequences_truncated_full(spark, d):
     return traces.sequences(_traces(spark, d)).select("block_id", scores.render_sequence(F.col("sequence")).alias("rendered"))
 
-
-QUERIES["pattern_render"], ORACLE_SQL["pattern_render"] = QUERIES["sequences_truncated"], ORACLE_SQL["sequences_truncated"]
-
 _COUNTS = ", ".join(f"count(*) filter (where event = '{a}')::int as {a}" for a in ALPHABET)
 
 
@@ -310,21 +299,22 @@ def _normal(spark, d, longest=20):
 
 
 POS = f"""{LABELS}, pos as (select block_id, event as e, row_number() over (partition by block_id order by ts, n) as i from ev join labs using (block_id) where label = 'NORMAL' qualify i <= 20),
-pats as (select 1 as k, e as t, e as s, count(distinct block_id) as freq from pos group by all
- union all select 2, a.e || '>' || b.e, array_to_string(list_sort([a.e, b.e]), '|'), count(distinct a.block_id) from pos a join pos b on a.block_id = b.block_id and a.i < b.i group by all
- union all select 3, a.e || '>' || b.e || '>' || c.e, array_to_string(list_sort([a.e, b.e, c.e]), '|'), count(distinct a.block_id) from pos a join pos b on a.block_id = b.block_id and a.i < b.i join pos c on c.block_id = b.block_id and b.i < c.i group by all),
-often as (select * from pats where freq >= ceil({SUPPORT} * (select count(distinct block_id) from pos)))"""
+least as (select ceil({SUPPORT} * count(distinct block_id)) as m from pos),
+grown(k, t, es, block_id, i) as (
+  select 1, e, [e], block_id, min(i) from pos group by e, block_id
+  union all
+  select k, t, es, block_id, i from (select g.k + 1 as k, g.t || '>' || p.e as t, list_append(g.es, p.e) as es, g.block_id, min(p.i) as i, count(*) over (partition by g.t || '>' || p.e) as freq
+    from grown g join pos p on p.block_id = g.block_id and p.i > g.i where g.k < 20 group by g.k, g.t, g.es, p.e, g.block_id) where freq >= (select m from least)),
+pats as (select k, t, array_to_string(list_sort(any_value(es)), '|') as s, count(*) as freq from grown group by k, t),
+often as (select * from pats where freq >= (select m from least))"""
 BASE = f"{POS}, base as (select s, max(freq) as freq from (select * from often order by freq desc, s, t limit 50) group by 1)"
+DEV = f"""base as (select s, max(freq) as freq from (select * from often order by freq desc, s, t limit 50) group by 1), tr as (select block_id, list(event order by ts, n) as es from ev group by 1),
+win as (select block_id, unnest(case when len(es) = 1 then es else flatten([case when len(es) >= k then list_transform(range(1, len(es) - k + 2), lambda i: array_to_string(list_sort(es[i:i + k - 1]), '|')) else [] end for k in [2, 3, 4]]) end) as s from tr),
+dev as (select block_id, 1 - count(base.s) / count(*) as seq_deviation_score, count(base.s)::int as matched_subseq_count, count(*)::int as total_subseq_count from win left join base using (s) group by 1)"""
 
 
-@query(f"with {POS} select t as pattern, freq from often")
+@query(f"with recursive {POS} select t as pattern, freq from often")
 def prefixspan_patterns(spark, d):
-    """Up to three events, as its SQL."""
-    return _pattern_text(_normal(spark, d, 3))
-
-
-@query()
-def prefixspan_patterns_full(spark, d):
     return _pattern_text(_normal(spark, d))
 
 
@@ -332,7 +322,7 @@ def _pattern_text(found):
     return found.select(F.array_join(F.flatten("sequence"), ">").alias("pattern"), "freq")
 
 
-@query(f"with {BASE} select s as signature, freq from base")
+@query(f"with recursive {BASE} select s as signature, freq from base")
 def normal_baseline(spark, d):
     return patterns.normal_baseline(_normal(spark, d), 50)
 
@@ -342,9 +332,7 @@ def _deviation(spark, d):
     return patterns.sequence_deviation(_traces(spark, d), known)
 
 
-@query(f"""with {BASE}, tr as (select block_id, list(event order by ts, n) as es from ev group by 1),
-win as (select block_id, unnest(case when len(es) = 1 then es else flatten([case when len(es) >= k then list_transform(range(1, len(es) - k + 2), lambda i: array_to_string(list_sort(es[i:i + k - 1]), '|')) else [] end for k in [2, 3, 4]]) end) as s from tr)
-select block_id, round(1 - count(base.s) / count(*), 6) as seq_deviation_score, count(base.s)::int as matched_subseq_count, count(*)::int as total_subseq_count from win left join base using (s) group by 1""")
+@query(f"with recursive {POS}, {DEV} select block_id, round(seq_deviation_score, 6) as seq_deviation_score, matched_subseq_count, total_subseq_count from dev")
 def seq_deviation(spark, d):
     return _rounded(_deviation(spark, d), "seq_deviation_score")
 
@@ -354,9 +342,9 @@ def top_itemsets(spark, d):
     return views.top_patterns(fp_itemsets(spark, d), "items", 10)
 
 
-@query(f"with {POS} select t as pattern, freq from often order by freq desc, t limit 10")
+@query(f"with recursive {POS} select t as pattern, freq from often order by freq desc, t limit 10")
 def top_sequences(spark, d):
-    return views.top_patterns(prefixspan_patterns_full(spark, d), "pattern", 10)
+    return views.top_patterns(prefixspan_patterns(spark, d), "pattern", 10)
 
 
 @query(f"with {SUBSETS} select 'fp_' || replace(items, ',', '|') as pattern_id, 'itemset' as pattern_type, replace(items, ',', '|') as pattern, freq, round(freq / total, 6) as support from named, tot")
@@ -434,12 +422,21 @@ def ablation_rule(spark, d):
     return _rounded(counts.select("tp", "fp", "fn", "tn", "precision", "recall", "f1"), "precision", "recall", "f1")
 
 
-@query(f"with {LABELS}, half as (select * from labs where hash_no % 2 = 0) select 'truth' as side, count(*) as n from labs where block_id like '%0' union all select 'predictions', 0::bigint".replace("half as (select * from labs where hash_no % 2 = 0)", "none as (select 1)"))
+_UNSCORED = "user_id % 7 = 3 and event = 'error'"
+
+
+@query(f"""with {SCORED}, kept as (select block_id from scored where block_id not in (select block_id from ev where {_UNSCORED})),
+known as (select block_id from labs where label = 'NORMAL')
+select 'truth' as side, count(*) as n from known where block_id not in (select block_id from kept)
+union all select 'predictions', count(*) from kept where block_id not in (select block_id from known)""")
 def unmatched_rows(spark, d):
-    return metrics.unmatched(metrics.clean_labels(_labels(spark, d)), _scored(spark, d).where("block_id not like '%0'"))
+    """Normal blocks as truth; blocks with an error of some users have no prediction."""
+    unscored = _events(spark, d).where(_UNSCORED).select("block_id").distinct()
+    truth = metrics.clean_labels(_labels(spark, d)).where("label = 'NORMAL'")
+    return metrics.unmatched(truth, _scored(spark, d).join(unscored, "block_id", "left_anti"))
 
 
-@query()
+@query(f"with {SCORED} select 'truth' as side, count(*) as n from labs where block_id not in (select block_id from scored) union all select 'predictions', count(*) from scored where block_id not in (select block_id from labs)")
 def unmatched_rows_full(spark, d):
     return metrics.unmatched(metrics.clean_labels(_labels(spark, d)), _scored(spark, d))
 
@@ -488,7 +485,8 @@ def cluster_distribution(spark, d):
 
 @query(f"with {GIVEN} select round(lo, 6) as lo, round(hi, 6) as p95 from q")
 def p95_distance(spark, d):
-    return _given(spark, d).agg(F.round(F.min("centroid_distance"), 6).alias("lo"), F.round(F.percentile("centroid_distance", F.lit(0.95)), 6).alias("p95"))
+    lo, p95 = quantiles.quantiles(_given(spark, d), "centroid_distance", [0.0, 0.95])
+    return spark.createDataFrame([(round(lo, 6), round(p95, 6))], "lo double, p95 double")
 
 
 @query(f"with {GIVEN} select round(avg(score), 6) as mean, round(stddev_samp(score), 6) as deviation, round(min(score), 6) as low, round(max(score), 6) as high from o")
@@ -502,9 +500,8 @@ def _occurrence(spark, d):
 
 
 def _features(spark, d):
-    """What the SQL of feature_matrix and constant_columns has: no rarity for ids ending in 3, no sequences or clusters."""
-    some = _rarity(spark, d).where("block_id not like '%3'")
-    return features.assemble(_occurrence(spark, d), fp=some, stats=_stats(spark, d))
+    """Without clusters, which SQL cannot express."""
+    return features.assemble(_occurrence(spark, d), fp=_rarity(spark, d), seq=_deviation(spark, d), stats=_stats(spark, d))
 
 
 def _all_features(spark, d):
@@ -512,15 +509,16 @@ def _all_features(spark, d):
 
 
 _NORM = [f"{a}_norm" for a in ALPHABET]
-FEAT = f"{RAR}, {STATS}, feat as (select s.block_id, coalesce(r.fp_rarity_score, 0.5) as fp_rarity_score, s.log_count::double as log_count, s.unique_events::double as unique_events, s.time_span::double as time_span, {', '.join(f'm.{c}' for c in _NORM)} from stats s join (select block_id, {', '.join(chr(108) + f'n(1 + count(*) filter (where event = {chr(39)}{a}{chr(39)})) as {a}_norm' for a in ALPHABET)} from ev group by 1) m using (block_id) left join (select * from rar where block_id not like '%3') r using (block_id))"
+POS_OF = POS.removeprefix(f"{EV}, ")
+FEAT = f"{RAR}, {POS_OF}, {DEV}, {STATS}, feat as (select s.block_id, coalesce(r.fp_rarity_score, 0.5) as fp_rarity_score, coalesce(v.seq_deviation_score, 0.5) as seq_deviation_score, s.log_count::double as log_count, s.unique_events::double as unique_events, s.time_span::double as time_span, {', '.join(f'm.{c}' for c in _NORM)} from stats s join (select block_id, {', '.join(chr(108) + f'n(1 + count(*) filter (where event = {chr(39)}{a}{chr(39)})) as {a}_norm' for a in ALPHABET)} from ev group by 1) m using (block_id) left join rar r using (block_id) left join dev v using (block_id))"
 
 
-@query(f"with {FEAT} select block_id, round(fp_rarity_score, 6) as fp_rarity_score, log_count, unique_events, time_span, {', '.join(f'round({c}, 6) as {c}' for c in _NORM)} from feat")
+@query(f"with recursive {FEAT} select block_id, round(fp_rarity_score, 6) as fp_rarity_score, round(seq_deviation_score, 6) as seq_deviation_score, log_count, unique_events, time_span, {', '.join(f'round({c}, 6) as {c}' for c in _NORM)} from feat")
 def feature_matrix(spark, d):
-    return _rounded(features.drop_constant(_features(spark, d)), "fp_rarity_score", *_NORM)
+    return _rounded(features.drop_constant(_features(spark, d)), "fp_rarity_score", "seq_deviation_score", *_NORM)
 
 
-@query(f"with {FEAT} " + " union all ".join(f"select '{c}' as feature, round(coalesce(stddev_samp({c}), 0), 6) as deviation from feat" for c in ["fp_rarity_score", "log_count", "unique_events", "time_span", *_NORM]) + " union all select 'never', 0.0")
+@query(f"with recursive {FEAT} " + " union all ".join(f"select '{c}' as feature, round(coalesce(stddev_samp({c}), 0), 6) as deviation from feat" for c in ["fp_rarity_score", "seq_deviation_score", "log_count", "unique_events", "time_span", *_NORM]) + " union all select 'never', 0.0")
 def constant_columns(spark, d):
     return _rounded(features.deviations(_features(spark, d)), "deviation")
 
@@ -562,9 +560,10 @@ def pot_threshold(spark, d):
     return spark.createDataFrame([tuple(json.loads(t.to_json()).values())], "threshold double, method string, q0 double, risk_level double, shape double, scale double")
 
 
-@query("select round(quantile_cont(value, 0.97), 6) as threshold, 'percentile_97.0' as method from events where event_id < 90")
+@query("select round(quantile_cont(p_retailprice, 0.97), 6) as threshold, 'percentile_97.0' as method from part")
 def pot_threshold_short_tail(spark, d):
-    t = threshold.fit_threshold(spark.read.parquet(f"{d}/events.parquet").where("event_id < 90"), "value")
+    """A tail that has fewer rows than are asked for."""
+    t = threshold.fit_threshold(spark.read.parquet(f"{d}/part.parquet"), "p_retailprice", least_tail=1 << 40)
     return spark.createDataFrame([(round(t.threshold, 6), t.method)], "threshold double, method string")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserlog.functions.scores import severity
 from tesserlog.operators.metrics import confusion, rates
+from tesserlog.operators.quantiles import quantiles
+from tesserlog.plans.batch import HISTORY
+from tesserlog.plans.training import load_model
+from tesserlog.sources.files import Files
 
 
 def kpi_stats(scores: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
@@ -19,7 +23,8 @@ def kpi_stats(scores: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
 
 
 def score_histogram(scores: DataFrame, column: str = "if_score", bins: int = 50) -> DataFrame:
-    """bin, count over [0, 1]; the last bin holds 1."""
+    """bin, count over [0, 1], in 10 to 200 bins; the last bin holds 1."""
+    bins = min(max(bins, 10), 200)
     at = F.least(F.floor(F.col(column) * bins), F.lit(bins - 1)).cast("int")
     counts = scores.where(F.col(column).between(0, 1)).groupBy(at.alias("bin")).agg(F.count("*").alias("count"))
     return scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("count", F.lit(0)).alias("count"))
@@ -30,8 +35,8 @@ PERCENTILES = (50, 75, 90, 95, 97, 99, 99.9)
 
 def score_percentiles(scores: DataFrame, column: str = "if_score") -> DataFrame:
     """percentile, value: exact, with linear interpolation."""
-    row = scores.agg(F.percentile(column, [p / 100 for p in PERCENTILES]).alias("v"))
-    return row.select(F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in PERCENTILES]).alias("percentile"), F.col("v").alias("value"))).alias("x")).select("x.percentile", "x.value")
+    found = quantiles(scores, column, [p / 100 for p in PERCENTILES])
+    return scores.sparkSession.createDataFrame([(float(p), v) for p, v in zip(PERCENTILES, found or [])], "percentile double, value double")
 
 
 def anomalies_page(scores: DataFrame, page: int = 1, per_page: int = 20, least: float = 0.0) -> DataFrame:
@@ -56,3 +61,28 @@ def stream_alerts(scores: DataFrame, n: int = 20) -> DataFrame:
 
 def model_info(threshold, forest) -> dict:
     return {"trees": len(forest.trees), "samples": forest.samples, "features": forest.columns, "threshold": threshold.threshold, "method": threshold.method, "shape": threshold.shape, "scale": threshold.scale}
+
+
+def stored_scores(spark: SparkSession, base: str) -> DataFrame:
+    """The labelled scores of the training run below ``base``."""
+    return spark.read.parquet(f"{base}/model_run/scores")
+
+
+def stored_model_info(spark: SparkSession, base: str) -> dict:
+    found = load_model(spark, f"{base}/model_run")
+    if found is None:
+        raise FileNotFoundError(f"no model below {base}")
+    forest, threshold = found
+    return model_info(threshold, forest)
+
+
+def stored_history(spark: SparkSession, base: str, n: int = 50) -> DataFrame:
+    """The last runs of the batch job, the latest first."""
+    return spark.read.schema(HISTORY).option("recursiveFileLookup", True).json(f"{base}/batch/history").orderBy(F.desc("run_at")).limit(n)
+
+
+def service_health(spark: SparkSession, base: str) -> dict[str, str]:
+    """What the service stands on: ok or missing."""
+    files = Files(spark)
+    parts = {"logs": "logs", "scores": "model_run/scores", "model": "model_run/model/threshold.json", "store": "store", "watermark": "watermark.json"}
+    return {k: "ok" if files.exists(f"{base}/{p}") else "missing" for k, p in parts.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 from dataclasses import dataclass, field, fields
+from logging.handlers import TimedRotatingFileHandler
 
 from pyspark.sql import SparkSession
 
@@ -54,5 +55,13 @@ class Settings:
         return cls(**given)
 
 
-def logger(name: str) -> logging.Logger:
-    return logging.getLogger(f"tesserlog.{name}")
+def logger(name: str, folder: str | None = None, days: int = 30) -> logging.Logger:
+    """A logger of the engine; with a local folder also a file for each day, kept for so many days."""
+    log = logging.getLogger(f"tesserlog.{name}")
+    if folder and not any(isinstance(h, TimedRotatingFileHandler) for h in log.handlers):
+        os.makedirs(folder, exist_ok=True)
+        handler = TimedRotatingFileHandler(os.path.join(folder, f"{name}.log"), when="midnight", backupCount=days, utc=True)
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
+    return log

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserlog.functions.parse import ENVELOPE
@@ -12,14 +12,12 @@ from tesserlog.functions.parse import ENVELOPE
 
 def scan_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """value, line_no (from 1 in file order). Numbers come from offsets of whole partitions and not from one task."""
-    lines = spark.read.option("encoding", encoding).text(path).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    sizes = sorted((r["p"], r["n"]) for r in lines.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    start, at = {}, 0
-    for p, n in sizes:
-        start[p], at = at, at + n
-    offset = F.create_map(*[F.lit(x).cast("long") for kv in start.items() for x in kv])[part] if start else F.lit(0)
-    return lines.select("value", (offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"))
+    lines = spark.read.option("encoding", encoding).text(path).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    counts = lines.groupBy("__part").agg(F.count("*").alias("n"))
+    # one row for each input partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(counts.select("__part", before.alias("__before")), "__part")
+    return placed.select("value", (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"))
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None, infer: bool = False) -> DataFrame:
@@ -30,10 +28,10 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None, infer: b
 
 def scan_traces(spark: SparkSession, path: str) -> DataFrame:
     """(block_id, events) of a trace table with columns like BlockId and Features."""
-    from tesserlog.operators.traces import find_column, parse_trace
+    from tesserlog.operators.traces import named_like, parse_trace
 
     table = scan_csv(spark, path)
-    return table.select(F.col(find_column(table, "block")).alias("block_id"), parse_trace(F.col(find_column(table, "feature"))).alias("events"))
+    return table.select(F.col(named_like(table, "blockid", "block")).alias("block_id"), parse_trace(F.col(named_like(table, "features", "feature"))).alias("events"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserlog.functions.scores import render_sequence
+from tesserlog.sources.files import Files
 from tesserlog.sources.readers import exists
 
 #: Key and columns of every table.
@@ -85,12 +86,22 @@ class KeyedStore:
         key, schema = TABLES[table]
         rows = self.spark.read.schema(f"{schema}, __generation long").parquet(self.path(table))
         values = [c for c in rows.columns if c != key]
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*values), "__generation").alias("r"))
+        # rows of one write are of one generation: the greatest of them, so that every reading finds the same
+        latest = rows.groupBy(key).agg(F.max(F.struct("__generation", *[c for c in values if c != "__generation"])).alias("r"))
         return latest.select(key, *[F.col("r")[c].alias(c) for c in values if c != "__generation"])
 
+    def compact(self, table: str) -> None:
+        """Keep only each key's latest row. Not for use beside writers; a crash leaves the old or the new rows at ``<table>.next``."""
+        files, path = Files(self.spark), self.path(table)
+        self.read(table).withColumn("__generation", F.lit(time.time_ns())).write.mode("overwrite").parquet(f"{path}.next")
+        files.delete(path)
+        files.rename(f"{path}.next", path)
+
     def health(self) -> DataFrame:
-        """table, documents."""
-        return self.spark.createDataFrame([(t, self.read(t).count() if exists(self.spark, self.path(t)) else -1) for t in TABLES], "table string, documents long")
+        """table, documents (-1: no table), bytes."""
+        files = Files(self.spark)
+        found = [(t, self.read(t).count() if files.exists(self.path(t)) else -1, files.size(self.path(t))) for t in TABLES]
+        return self.spark.createDataFrame(found, "table string, documents long, bytes long")
 
     # documents of each table
 
@@ -103,6 +114,9 @@ class KeyedStore:
         return self.write(rows.withColumns(extra), "anomalies")
 
     def write_metrics(self, df: DataFrame) -> bool:
+        """One row of metrics; those inside a struct ``core_metrics`` count as columns."""
+        if "core_metrics" in df.columns:
+            df = df.select("core_metrics.*", *[c for c in df.columns if c != "core_metrics"])
         now = F.current_timestamp()
         return self.write(df.withColumns({"run_id": F.date_format(now, "yyyyMMdd_HHmmss"), "recorded_at": now.cast("string")}), "metrics")
 

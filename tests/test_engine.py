@@ -4,6 +4,7 @@ import time
 from datetime import datetime, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def test_forest_ranks_planted_outliers(spark):
 def test_tail_fit(spark):
     rng = np.random.default_rng(0)
     x = 0.08 / 0.25 * (rng.uniform(size=50_000) ** -0.25 - 1)
-    shape, scale = threshold.fit_tail(x)
+    shape, scale = threshold.fit_tail(spark.createDataFrame(pd.DataFrame({"x": x})))
     assert shape == pytest.approx(0.25, abs=0.02) and scale == pytest.approx(0.08, abs=0.003)
     few = spark.createDataFrame([(float(i),) for i in range(50)], "if_score double")
     t = threshold.fit_threshold(few)
@@ -190,7 +191,7 @@ def test_batch_run(spark, tmp_path):
     mark = batch.Watermark(spark, str(tmp_path / "mark.json"))
     meta = batch.run_batch(spark, logs_, df, forest, threshold.Threshold(0.0, "fixed"), mark, str(tmp_path / "out"), 1, now)
     assert (meta.first()["new_blocks"], meta.first()["anomalies_detected"]) == (1, 1)
-    assert mark.load() == (now, 1) and batch.retrain_due(0) and not batch.retrain_due(1)
+    assert mark.load() == (datetime(2024, 1, 1, 23, 30, tzinfo=timezone.utc), 1) and batch.retrain_due(0) and not batch.retrain_due(1)
     again = batch.run_batch(spark, logs_, df, forest, threshold.Threshold(0.0, "fixed"), mark, str(tmp_path / "out"), 1, now)
     assert again.first()["new_blocks"] == 0
 

@@ -69,7 +69,7 @@ def test_patterns_of_any_length_equal_brute_force(spark):
         seen.update({">".join(c) for k in range(1, len(e) + 1) for c in combinations(e, k)})
     least = math.ceil(catalogue.SUPPORT * len(normal))
     want = {p: n for p, n in seen.items() if n >= least}
-    got = {r["pattern"]: r["freq"] for r in catalogue.prefixspan_patterns_full(spark, D).collect()}
+    got = {r["pattern"]: r["freq"] for r in catalogue.prefixspan_patterns(spark, D).collect()}
     assert got == want and max(p.count(">") for p in got) > 2
 
 
@@ -84,6 +84,6 @@ def test_baseline_holds_long_windows(spark, tmp_path):
 
 def test_sequences_are_cut_at_twenty(spark):
     rows = by_block(catalogue._traces(spark, D), "events")
-    got = by_block(catalogue.sequences_truncated_full(spark, D), "rendered")
+    got = by_block(catalogue.sequences_truncated(spark, D), "rendered")
     assert max(len(e) for (e,) in rows.values()) > 3
     assert got == {b: ("\u2192".join(e[:20]),) for b, (e,) in rows.items()}
