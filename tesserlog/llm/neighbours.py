@@ -2,8 +2,8 @@
 
 On a bounded sample (``SAMPLE`` vectors, first by a hash of the id) the neighbour
 graph is computed and cut into parts of equal size by recursive bisection: a spectral
-split at the median, then balanced swaps that lower the cut. There are so many parts
-(a power of two) that one has ``PART_ROWS`` rows of the table, and ``PARTS`` at most. A small
+split at the median, then balanced swaps that lower the cut. The number of parts is a
+power of two that grows with the square root of the table's rows, ``PARTS`` at most. A small
 network learns, on three quarters of the sample, which parts hold a vector's neighbours.
 Every vector is indexed in its most probable part under a bias for each part that makes
 the parts of the sample equally large; a query goes to its several most probable parts,
@@ -24,6 +24,8 @@ query, and each takes a place as a candidate.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tesserlog.llm.shared import written
 
-SAMPLE, PARTS, PART_ROWS, GRAPH, TARGET = 8192, 128, 256, 16, 0.94
+SAMPLE, PARTS, GRAPH, TARGET = 8192, 128, 16, 0.94
 #: Rows of a block, and scores of a slice of its product.
 BLOCK, CELLS = 32768, 1 << 22
 
@@ -199,9 +201,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (most["d"] if most else 0))
 
 
-def part_count(rows: int, most: int = PARTS, part_rows: int = PART_ROWS) -> int:
-    """A power of two that grows with the table."""
-    return 1 << max(0, min(most.bit_length() - 1, (rows // part_rows).bit_length() - 1))
+def part_count(rows: int, most: int = PARTS) -> int:
+    """The power of two at or under a quarter of the root of ``rows``: both the parts and the rows of one grow with the table."""
+    return 1 << max(0, min(most.bit_length(), (math.isqrt(rows) // 4).bit_length()) - 1)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", parts: int | None = None, sample: int = SAMPLE) -> DataFrame:

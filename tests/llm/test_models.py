@@ -352,7 +352,7 @@ def test_neighbours_beyond_the_sample(spark):
     router, visits = neighbours.fit(x[:1200], 8, 20)
     size = np.bincount(router.home(x), minlength=8)
     assert size.max() <= 2.5 * size.mean() and visits < 8
-    assert [neighbours.part_count(n) for n in (0, 255, 600, 10**4, 10**9)] == [1, 1, 2, 32, 128]
+    assert [neighbours.part_count(n) for n in (0, 255, 600, 10**4, 5 * 10**4, 10**9)] == [1, 2, 4, 16, 32, 128]
 
 
 def test_neighbours_recall_on_embeddings(spark):
