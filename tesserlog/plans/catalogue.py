@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -463,6 +464,22 @@ def cluster_outlier(spark, d):
     return _outliers(spark, d)
 
 
+#: Centres of two clusters in counts, for a distance that SQL can follow.
+CENTRES = [[0.5, 0.25, 1.0, 0.0, 2.0], [1.5, 0.0, 0.0, 1.0, 0.5]]
+
+
+def _apart(centre: list[float]) -> str:
+    return "sqrt(" + " + ".join(f"pow({a} - {x}, 2)" for a, x in zip(ALPHABET, centre)) + ")"
+
+
+@query(f"with {EV}, m as (select block_id, {_COUNTS} from ev group by 1) select block_id, (click > 0)::int as cluster_id, round(case when click > 0 then {_apart(CENTRES[1])} else {_apart(CENTRES[0])} end, 6) as centroid_distance from m")
+def own_distance_given(spark, d):
+    """Distance to the own centre, with given centres: blocks with a click belong to the second."""
+    m = occurrence_matrix(spark, d)
+    rows = m.select("block_id", (F.col("click") > 0).cast("int").alias("cluster_id"), array_to_vector(F.array(*[F.col(a).cast("double") for a in ALPHABET])).alias("features"))
+    return _rounded(clusters.own_distance(rows, CENTRES), "centroid_distance")
+
+
 def _given(spark, d):
     """Embeddings with their label as cluster, and the distance of the first component to 0."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
@@ -554,6 +571,35 @@ def score_new(spark, d):
     return batch.score_new(f, new, iforest.Forest.from_json(forest.to_json()), threshold.Threshold(0.5, "fixed"))
 
 
+#: Two small trees over (log_count, time_span): (feature, cut, left, right, depth at a leaf).
+TREES = [
+    [(0, 2.5, 1, 2, 0.0), (-1, 0.0, 0, 0, 3.25), (1, 3600.0, 3, 4, 0.0), (-1, 0.0, 0, 0, 2.0), (-1, 0.0, 0, 0, 2.5)],
+    [(1, 40000.5, 1, 2, 0.0), (-1, 0.0, 0, 0, 4.0), (-1, 0.0, 0, 0, 1.0)],
+]
+
+
+def _depth(nodes: list[tuple], at: int = 0) -> str:
+    f, cut, left, right, leaf = nodes[at]
+    return f"{leaf}::double" if f < 0 else f"case when {('log_count', 'time_span')[f]} < {cut} then {_depth(nodes, left)} else {_depth(nodes, right)} end"
+
+
+@query(f"with {EV}, {STATS} select block_id, round(least(1, greatest(0, (pow(2, -({_depth(TREES[0])} + {_depth(TREES[1])}) / 2 / {float(iforest.mean_path(16))!r}) - 0.25) / 0.5)), 6) as if_score from stats")
+def forest_scores_given(spark, d):
+    """Path lengths, score and scaling of a forest that is written down here."""
+    forest = iforest.Forest(["log_count", "time_span"], TREES, 16, 0.25, 0.75)
+    return _rounded(iforest.score_forest(_stats(spark, d), iforest.Forest.from_json(forest.to_json())), "if_score")
+
+
+@query("""with q as (select quantile_cont(value, 0.9) as base, max(value) as most, count(*) as n from events), m as (select count(*) as m from events, q where value > base)
+select round(base + least(greatest(8.0 / 0.25 * (pow(0.01 * n / m, -0.25) - 1), 0), most - base), 6) as threshold from q, m""")
+def pot_threshold_given(spark, d):
+    """The threshold over the values of events under a tail of given shape and scale."""
+    values = spark.read.parquet(f"{d}/events.parquet").select("value")
+    base, most = quantiles.quantiles(values, "value", [0.9, 1.0])
+    n, m = values.agg(F.count("value"), F.sum((F.col("value") > base).cast("long"))).first()
+    return spark.createDataFrame([(round(threshold.tail_threshold(base, 0.25, 8.0, 0.01 * n / m, most - base), 6),)], "threshold double")
+
+
 @query()
 def pot_threshold(spark, d):
     t = threshold.fit_threshold(spark.read.parquet(f"{d}/events.parquet").select("value"), "value")
