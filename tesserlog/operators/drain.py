@@ -3,7 +3,8 @@
 Messages are masked and grouped by (number of words, first word) in the cluster,
 after equal masked messages have been counted, so that a group only holds distinct
 messages. Within a group they are merged in a fixed order by a similarity threshold,
-differing words becoming wildcards. An approximation of the sequential tree miner.
+differing words becoming wildcards; a large group is merged in parts first. There is no
+limit on templates. An approximation of the sequential tree miner.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tesserlog.functions.parse import mask_message
 
 WILD = "<*>"
+#: Distinct messages that are merged at a time.
+GROUP = 2000
 
 
 def _merge(pdf: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -40,7 +43,17 @@ def learn_templates(messages: DataFrame, content: str = "content", similarity: f
     distinct = messages.where(F.col(content).isNotNull()).select(masked.alias("masked")).groupBy("masked").agg(F.count("*").alias("n"))
     words = F.split("masked", " ")
     keyed = distinct.withColumns({"words": F.size(words), "head": F.when(words[0].contains("<"), WILD).otherwise(words[0])})
-    return keyed.groupBy("words", "head").applyInPandas(lambda p: _merge(p, similarity), "template string, size long").groupBy("template").agg(F.sum("size").alias("size"))
+    # a group of many messages is merged in parts, and what is left of them once more
+    sizes = keyed.groupBy("words", "head").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    dealt = keyed.join(sizes, ["words", "head"]).withColumn("part", F.pmod(F.xxhash64("masked"), F.col("parts")))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _merge(pdf, similarity).assign(words=pdf["words"].iloc[0], head=pdf["head"].iloc[0], parts=pdf["parts"].iloc[0])
+
+    shape = "template string, size long, words int, head string, parts long"
+    first = dealt.groupBy("words", "head", "part").applyInPandas(merge, shape)
+    again = first.where("parts > 1").select(F.col("template").alias("masked"), F.col("size").alias("n"), "words", "head", "parts").groupBy("words", "head").applyInPandas(merge, shape)
+    return first.where("parts = 1").union(again).groupBy("template").agg(F.sum("size").alias("size"))
 
 
 def tokens_of(template: Column) -> Column:

@@ -18,6 +18,7 @@ from tesserlog.functions import parse, scores
 from tesserlog.operators import clusters, drain, features, iforest, metrics, patterns, quantiles, threshold, traces
 from tesserlog.plans import batch, views
 from tesserlog.sources import store
+from tesserlog.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -446,7 +447,7 @@ def unmatched_rows_full(spark, d):
 
 
 def _vectors(spark, d):
-    return clusters.feature_vectors(occurrence_matrix(spark, d), ALPHABET)
+    return clusters.feature_vectors(written(occurrence_matrix(spark, d), "matrix"), ALPHABET)
 
 
 @query()
@@ -532,7 +533,7 @@ FEAT = f"{RAR}, {POS_OF}, {DEV}, {STATS}, feat as (select s.block_id, coalesce(r
 
 @query(f"with recursive {FEAT} select block_id, round(fp_rarity_score, 6) as fp_rarity_score, round(seq_deviation_score, 6) as seq_deviation_score, log_count, unique_events, time_span, {', '.join(f'round({c}, 6) as {c}' for c in _NORM)} from feat")
 def feature_matrix(spark, d):
-    return _rounded(features.drop_constant(_features(spark, d)), "fp_rarity_score", "seq_deviation_score", *_NORM)
+    return _rounded(features.drop_constant(written(_features(spark, d), "features")), "fp_rarity_score", "seq_deviation_score", *_NORM)
 
 
 @query(f"with recursive {FEAT} " + " union all ".join(f"select '{c}' as feature, round(coalesce(stddev_samp({c}), 0), 6) as deviation from feat" for c in ["fp_rarity_score", "seq_deviation_score", "log_count", "unique_events", "time_span", *_NORM]) + " union all select 'never', 0.0")
@@ -551,7 +552,7 @@ def constant_columns_full(spark, d):
 
 
 def _forest(spark, d):
-    f = features.drop_constant(_all_features(spark, d))
+    f = features.drop_constant(written(_all_features(spark, d), "features"))
     columns = [c for c in f.columns if c != "block_id"]
     return f, iforest.fit_forest(f, columns, 100, 256)
 
@@ -559,7 +560,7 @@ def _forest(spark, d):
 @query()
 def iforest_scores(spark, d):
     f, forest = _forest(spark, d)
-    s = iforest.score_forest(f, forest)
+    s = written(iforest.score_forest(f, forest), "scores")
     t = threshold.fit_threshold(s)
     return threshold.label_anomalies(s, t.threshold, t.method)
 

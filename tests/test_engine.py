@@ -132,6 +132,17 @@ def test_templates(spark):
     assert got == {"Served block <BLOCK> to <IP>": 40, "Deleting file <*>": 2}
 
 
+def test_templates_of_a_large_group(spark, monkeypatch):
+    """Many distinct messages of one length and first word: merged in parts, none is lost, different ones stay apart."""
+    monkeypatch.setattr(drain, "GROUP", 50)
+    kinds = ["open file x as reader now", "open socket port by writer then", "open door of house with key"]
+    rows = [(kinds[i % 3].replace(kinds[i % 3].split()[2], "name" + "abcdefghij"[i // 3 % 10] + "abcdefghij"[i // 30 % 10]),) for i in range(600)]
+    got = {r["template"]: r["size"] for r in drain.learn_templates(spark.createDataFrame(rows, "content string")).collect()}
+    assert sum(got.values()) == 600 and len(got) == 3 and set(got.values()) == {200}
+    apart = spark.createDataFrame([(f"go {'abcdefghij'[i % 10] * 3}{'abcdefghij'[i // 10 % 10]} {'klmnopqrst'[i // 100] * 2}{'abcdefghij'[i % 10]} u{'abcdefghij'[i // 7 % 10]}{'abcdefghij'[i % 9]}",) for i in range(900)], "content string")
+    assert sum(r["size"] for r in drain.learn_templates(apart, similarity=0.9).collect()) == 900
+
+
 def test_store_latest_wins_and_dead_letters(spark, tmp_path):
     s = store.KeyedStore(spark, str(tmp_path), retries=2, backoff=0.0)
     s.bootstrap()
