@@ -11,13 +11,16 @@ from tesserlog.functions.parse import ENVELOPE
 
 
 def scan_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """value, line_no (from 1 in file order). Numbers come from offsets of whole partitions and not from one task."""
-    lines = spark.read.option("encoding", encoding).text(path).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
-    counts = lines.groupBy("__part").agg(F.count("*").alias("n"))
-    # one row for each input partition
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.join(counts.select("__part", before.alias("__before")), "__part")
-    return placed.select("value", (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line_no"))
+    """value, line_no from 1: files by name, lines by their place in the file. Numbers come from counts of whole splits and not from one task."""
+    split = ["__file", "__begin"]
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__begin"), F.monotonically_increasing_id().alias("__at")
+    )
+    counts = lines.groupBy(*split).agg(F.count("*").alias("n"), F.min("__at").alias("__first"))
+    # one row for each split of a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(counts.select(*split, "__first", before.alias("__before")), split)
+    return placed.select("value", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("line_no"))
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None, infer: bool = False) -> DataFrame:
