@@ -21,8 +21,12 @@ The incidence matrix A (documents x hashed word n-grams) is cut twice.
 
 Equal sets are one row (their digest), so copies meet only in aggregates. Fingerprints
 of which a single one is more than 1 / ``SHARE`` of all (there are at most ``SHARE``) are
-found by counts that the tasks send along, and never meet in one task. Texts are read
-again only where a bitmap of fixed size says that their id may be in a diagonal block.
+found by counts that the tasks send along, and never meet in one task. Fingerprints are
+never stored: a first pass over the texts counts them, a second one sends them to where
+they meet, as packed buckets of 12 bytes a fingerprint: the bucket's number stands for the
+upper bits, 32 bits follow, then the digest. Chance agreements of shortened fingerprints
+only add candidates. Texts are read once more where a bitmap of fixed size says that
+their id may be in a diagonal block.
 
 Columns of the input other than id and text are not read. Null, empty and word-less
 texts have an empty set and link with nothing. Rows with a null id get a row of the
@@ -44,10 +48,12 @@ from tesserlog.llm.shared import bounded_batches, connected_components, free_nam
 from tesserlog.llm.textops import BLANK_SPLIT, hash_words, mix, slices, text_buffers
 
 ROWS_PER_BLOCK, CELLS_PER_BLOCK = 2000, 1_000_000
-FLUSH, STRIP = 2_000_000, 256
+FLUSH, STRIP = 1_000_000, 256
+#: Fingerprints of a bucket, about; a task holds one bucket at a time.
+KEYS_PER_BUCKET = 1 << 17
 #: Blocks in which linked rows of more than a few n-grams agree at least, and the rows of a fingerprint from which it is common.
 SPARE, COMMON, SHARE = 4, 8, 4096
-#: kind 0: id, digest and size of a row, hash of its text; kind 1: a fingerprint and the digest that has it; kind 2: a fingerprint
+#: kind 0: id, digest and size of a row, hash of its text; kind 1: how many fingerprints a task has met; kind 2: a fingerprint
 #: and how often a task has met it. Flat, so that a reader holds few rows at a time.
 _FACTS = "kind int, a long, b long, n long, t long"
 
@@ -127,17 +133,12 @@ def _facts(size: int, percent: int):
         def facts(kind: int, *columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], schema=schema)
 
-        def many(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 32768):
-                part = slice(i, i + 32768)
-                none = pa.nulls(len(keys[part]), pa.int64())
-                yield facts(1, pa.array(keys[part].view(np.int64)), pa.array(nodes[part]), none, none)
-
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                keys = np.concatenate([k for k, _ in held])
-                yield from many(keys, np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held]))
+                keys = np.concatenate(held)
                 held.clear()
+                none = pa.nulls(1, pa.int64())
+                yield facts(1, none, none, pa.array([len(keys)], pa.int64()), none)
                 keys.sort()
                 begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
                 often = np.diff(np.append(begin, len(keys)))
@@ -155,8 +156,8 @@ def _facts(size: int, percent: int):
                 sizes.append(len(grams))
                 if len(grams) and digests[-1] not in seen:
                     seen.add(digests[-1])
-                    held.append((bands.keys(grams), digests[-1]))
-                    cells += len(held[-1][0])
+                    held.append(bands.keys(grams))
+                    cells += len(held[-1])
             yield facts(0, batch.column(0).cast(pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), batch.column(2))
             if cells > FLUSH:
                 yield from flush()
@@ -166,48 +167,106 @@ def _facts(size: int, percent: int):
     return run
 
 
+def _packed(size: int, percent: int, bits: int, hot: np.ndarray):
+    """The fingerprints of all texts with their digests, by bucket (the upper ``bits``): the 32 bits that follow, the last of them the fingerprint's own last bit.
+
+    Those among ``hot`` go whole, to negative buckets that deal them out evenly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen, held = Bands(percent), set(), []
+
+        def blobs(buckets: np.ndarray, begin: np.ndarray, keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ends = np.append(begin, len(keys))
+
+            def binary(x: np.ndarray) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+            whole = pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), binary(keys), binary(nodes)], names=["bucket", "keys", "nodes"])
+            for i in range(0, len(begin), 2048):
+                yield whole.slice(i, 2048)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys = np.concatenate([k for k, _ in held])
+                nodes = np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held])
+                held.clear()
+                often = np.isin(keys, hot)
+                if often.any():
+                    begin = np.arange(0, int(often.sum()), 4096)
+                    yield from blobs(-1 - (nodes[often][begin] & 0xFFFFF), begin, keys[often], nodes[often])
+                    keys, nodes = keys[~often], nodes[~often]
+                order = np.argsort(keys)
+                keys, nodes = keys[order], nodes[order]
+                buckets = (keys >> np.uint64(64 - bits)).astype(np.int32)
+                begin = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(keys)])
+                low = (keys >> np.uint64(32 - bits)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | (keys & np.uint64(1)).astype(np.uint32)
+                yield from blobs(buckets[begin], begin, low, nodes)
+
+        cells = 0
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            for grams in shingle_sets(*hash_words(*text_buffers(batch.column(1)), BLANK_SPLIT), size):
+                digest = digest_of(grams) if len(grams) else None
+                if len(grams) and digest not in seen:
+                    seen.add(digest)
+                    held.append((bands.keys(grams), digest))
+                    cells += len(held[-1][0])
+            if cells > FLUSH:
+                yield from flush()
+                cells = 0
+        yield from flush()
+
+    return run
+
+
 def _pair_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key and node. Distinct rows of a run of up to ``COMMON`` equal keys give their pairs, a longer run gives its rows.
+    """Packed rows come sorted by bucket. Distinct rows of a run of up to ``COMMON`` equal keys give their pairs, a longer run gives its rows.
 
-    kind 0: a pair of which several blocks must agree; 1: a row of a long run; 2: a pair of which one block is enough.
-    A run may span batches: at most ``COMMON`` rows of it are held.
+    kind 0: a pair of which several blocks must agree; 1: a row of a long run; 2: a pair of which one block is enough;
+    3: a row of a fingerprint that did not meet here. One bucket is held at a time.
     """
-    keys, nodes, common = np.zeros(0, np.int64), np.zeros(0, np.int64), None
 
     def out(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v)], names=["kind", "u", "v"])
 
-    def settled(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(keys):
-            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            length = np.diff(np.append(begin, len(keys)))
-            many = np.repeat((length > COMMON) | (keys[begin] == common if common is not None else False), length)
-            yield out(1, keys[many], nodes[many])
-            for d in range(1, min(COMMON, len(keys))):
-                at = np.flatnonzero((keys[d:] == keys[:-d]) & ~many[d:])
-                if not len(at):
-                    break
-                several = keys[at] & 1 == 1
-                yield out(0, nodes[at + d][several], nodes[at][several])
-                yield out(2, nodes[at + d][~several], nodes[at][~several])
-
+    def settled(bucket: int, held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        nodes = np.frombuffer(b"".join(n for _, n in held), np.int64)
+        if bucket < 0:
+            for i in range(0, len(held), 8):
+                part = held[i : i + 8]
+                yield out(3, np.frombuffer(b"".join(k for k, _ in part), np.int64), np.frombuffer(b"".join(n for _, n in part), np.int64))
+            return
+        low = np.frombuffer(b"".join(k for k, _ in held), np.uint32)
+        order = np.lexsort((nodes, low))
+        low, nodes = low[order], nodes[order]
+        new = np.append(True, (low[1:] != low[:-1]) | (nodes[1:] != nodes[:-1]))
+        keys, nodes = low[new].astype(np.int64) | bucket << 32, nodes[new]
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        length = np.diff(np.append(begin, len(keys)))
+        many = np.repeat(length > COMMON, length)
+        yield out(1, keys[many], nodes[many])
+        for d in range(1, min(COMMON, len(keys))):
+            at = np.flatnonzero((keys[d:] == keys[:-d]) & ~many[d:])
+            if not len(at):
+                break
+            several = keys[at] & 1 == 1
+            yield out(0, nodes[at + d][several], nodes[at][several])
+            yield out(2, nodes[at + d][~several], nodes[at][~several])
+
+    now, held = 0, []
     for batch in batches:
-        if batch.num_rows:
-            keys = np.append(keys, batch.column(0).to_numpy(zero_copy_only=False))
-            nodes = np.append(nodes, batch.column(1).to_numpy(zero_copy_only=False))
-            new = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
-            keys, nodes = keys[new], nodes[new]
-            last = int(np.searchsorted(keys, keys[-1]))
-            wait = last if len(keys) - last <= COMMON and keys[-1] != common else len(keys)
-            yield from settled(keys[:wait], nodes[:wait])
-            if wait == len(keys):
-                common = keys[-1]
-            keys, nodes = keys[wait:], nodes[wait:]
-    yield from settled(keys, nodes)
-
-
-def _candidates(keys: DataFrame, met_often: DataFrame) -> DataFrame:
-    """Edges between rows that may link, from (keys, nodes) and (keys, n), how often tasks have met their common fingerprints.
+        for bucket, keys, nodes in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and bucket != now:
+                yield from settled(now, held)
+                held = []
+            now = bucket
+            held.append((keys, nodes))
+    if held:
+        yield from settled(now, held)
+
+
+def _candidates(texts: DataFrame, facts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges between rows that may link, from (id, text) and what ``_facts`` has counted over them.
 
     A linked pair agrees in ``SPARE`` blocks or more. Agreements in fingerprints that
     few rows have are counted by pair; those in common fingerprints are at most as many
@@ -215,12 +274,14 @@ def _candidates(keys: DataFrame, met_often: DataFrame) -> DataFrame:
     ``SPARE`` or more common fingerprints may link by these alone and are joined to one
     of their holders. Fingerprints without the last bit set join always.
     """
-    total = keys.count()
-    hot = F.broadcast(written(met_often.groupBy("keys").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON, total // SHARE)).select("keys"), "ngram-hot"))
-    few = keys.join(hot, "keys", "left_anti").repartition("keys").sortWithinPartitions("keys", "nodes")
-    met = written(few.mapInArrow(_pair_stream, "kind int, u long, v long"), "ngram-met")
-    many = keys.join(hot, "keys", "left_semi").distinct()
-    rows = written(met.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("node")).union(many), "ngram-common")
+    total = facts.where("kind = 1").agg(F.sum("n")).first()[0] or 0
+    met_often = facts.where("kind = 2").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") > max(COMMON, total // SHARE))
+    hot = np.array([r["a"] for r in met_often.collect()], np.int64).view(np.uint64)
+    bits = min(16, max(8, (total // KEYS_PER_BUCKET).bit_length()))
+    packed = texts.mapInArrow(_packed(size, percent, bits, hot), "bucket int, keys binary, nodes binary")
+    met = written(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_pair_stream, "kind int, u long, v long"), "ngram-met")
+    row = F.col("u").alias("key"), F.col("v").alias("node")
+    rows = written(met.where("kind = 1").select(*row).union(met.where("kind = 3").select(*row).distinct()), "ngram-common")
     several = F.col("key").bitwiseAND(F.lit(1)) == 1
     able = rows.groupBy("node").agg(F.count(F.when(several, 1)).alias("n"))
     common = rows.join(able, "node").where(~several | (F.col("n") >= SPARE)).select("key", "node")
@@ -382,8 +443,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     facts = written(bounded_batches(texts).withColumn("t", F.xxhash64("text")).mapInArrow(_facts(size, percent), _FACTS), "ngram-facts")
     rows = facts.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("digest"), "n", "t")
-    keys = facts.where("kind = 1").select(F.col("a").alias("keys"), F.col("b").alias("nodes"))
-    near = connected_components(_candidates(keys, facts.where("kind = 2").select(F.col("a").alias("keys"), "n")), "ngram-near")
+    near = connected_components(_candidates(texts, facts, size, percent), "ngram-near")
 
     classes = rows.where("digest is not null and id is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("rep"), F.max("n").alias("n"))
     members = near.union(near.select(F.col("comp").alias("node"), "comp").distinct()).join(classes, "node")

@@ -1,7 +1,11 @@
 import hashlib
+import itertools
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import agree, tables
 from pyspark.sql import functions as F
@@ -248,6 +252,35 @@ def test_quotations_of_parts(spark):
     assert got[1, 2]["root_turn"] == 0 and got[1, 7]["root_turn"] == 1
 
 
+def test_ngram_fingerprints_are_counted_and_packed(monkeypatch):
+    """Over many flushes and buckets: no table has a row for each fingerprint, a packed one takes 12 bytes, and pairs are those of whole fingerprints."""
+    monkeypatch.setattr(ngram_join, "FLUSH", 1000)
+    rng = random.Random(3)
+    base = [[f"w{rng.randint(0, 9999)}" for _ in range(rng.choice([2, 9, 150]))] for _ in range(30)]
+    texts = [" ".join(b + [f"end{k}"] * (k > 0)) for i, b in enumerate(base) for k in range([1, 3, 12, 30][i % 4])] + [None, "", " ".join(base[0])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([0] * len(texts), pa.int64())], names=["id", "text", "t"])
+    holders = {}
+    for grams in ngram_join.shingle_sets(*ngram_join.hash_words(*ngram_join.text_buffers(batch.column(1)), ngram_join.BLANK_SPLIT), 5):
+        for key in ngram_join.Bands(80).keys(grams).tolist() if len(grams) else []:
+            holders.setdefault(key, set()).add(ngram_join.digest_of(grams))
+    facts = pa.Table.from_batches(list(ngram_join._facts(5, 80)(iter([batch])))).to_pylist()
+    assert sum(r["n"] for r in facts if r["kind"] == 1) == sum(map(len, holders.values())) > 10 * len(texts)
+    assert sum(r["kind"] < 2 for r in facts) <= 2 * len(texts)
+    hot = {k for k, nodes in holders.items() if len(nodes) > 20}
+    packed = pa.Table.from_batches(list(ngram_join._packed(5, 80, 8, np.array(sorted(hot), np.uint64))(iter([batch])))).sort_by("bucket")
+    sizes = {met: sum(len(nodes) for k, nodes in holders.items() if (k in hot) == met) for met in (True, False)}
+    assert hot and sum(len(r["keys"]) + len(r["nodes"]) for r in packed.to_pylist()) == 16 * sizes[True] + 12 * sizes[False]
+    got = pa.Table.from_batches(list(ngram_join._pair_stream(iter(packed.to_batches(max_chunksize=7))))).to_pylist()
+    pairs = Counter((2 - 2 * (k & 1), *sorted(p)) for k, nodes in holders.items() if len(nodes) <= ngram_join.COMMON for p in itertools.combinations(nodes, 2))
+    assert pairs and Counter((r["kind"], *sorted((r["u"], r["v"]))) for r in got if r["kind"] in (0, 2)) == pairs
+    for kind, keys in ((1, {k for k, nodes in holders.items() if ngram_join.COMMON < len(nodes) <= 20}), (3, hot)):
+        by = {}
+        for r in got:
+            if r["kind"] == kind:
+                by.setdefault(r["u"], []).append(r["v"])
+        assert keys and sorted(map(sorted, by.values())) == sorted(sorted(holders[k]) for k in keys)
+
+
 @pytest.mark.parametrize("percent", [80, 90, 50])
 def test_ngram_bands_lose_no_link(spark, monkeypatch, percent):
     """One group of many sizes in many small blocks: links within and between bands of size, at the bound itself too."""
