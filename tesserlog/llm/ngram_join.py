@@ -496,5 +496,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     keep = keep.select(F.col("id").alias(free_name(docs, "keep_id")), F.col("t").alias(free_name(docs, "keep_text")))
     met = sift(docs, sieve, id_col)
     same = (met[id_col].cast("long") == keep[keep.columns[0]]) & (F.xxhash64(met[text_col].cast("string")) == keep[keep.columns[1]])
-    kept = met.join(keep, same, "left_semi").dropDuplicates([id_col, text_col])
+    # an inner join: a semi join is moved below the sieve by the optimizer, and then shuffles every text
+    kept = met.join(keep, same).drop(*keep.columns).dropDuplicates([id_col, text_col])
     return sift(docs, sieve, id_col, inside=False).union(kept).union(docs.where(F.col(id_col).isNull()))

@@ -130,6 +130,14 @@ def test_keep_one_is_by_row(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f g"), (2, "t u v w x y z"), (4, "q")]
 
 
+def test_keep_one_shuffles_few_texts(spark):
+    """The join with the rows that stay is above the sieve, also in the optimized plan."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(9))) for i in range(200)] + [(900, " ".join(f"w0x{j}" for j in range(9)))]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), size=5, percent=80)
+    assert "LeftSemi" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(200))
+
+
 def test_ngram_hot_fingerprint(spark, monkeypatch):
     """Most rows share fingerprints: they never meet in one task, and no link is lost."""
     monkeypatch.setattr(ngram_join, "SHARE", 4)
